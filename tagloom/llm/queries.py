@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest, mixing, pieces, quality, toxicity, urls
+from . import digest, jaccard, mixing, pieces, quality, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_components(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], ids=False)
 
@@ -42,7 +46,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op3_toxicity, op6_quality, op8_sentencepiece, op9_fingerprint, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op3_toxicity, op6_quality, op7_jaccard, op8_sentencepiece, op9_fingerprint, op10_mixing)}
 
 SQL: dict[str, str] = {
     "op1_url_filter": f"""
