@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contexts, digest, jaccard, mixing, pieces, quality, toxicity, urls
+from . import contexts, digest, jaccard, mixing, pieces, quality, toxicity, urls, wrappers
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def op4_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contexts.scored(table(spark, sf_dir, "documents"))
 
 
+def op5_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op3_toxicity, op4_context_trees, op6_quality, op7_jaccard, op8_sentencepiece, op9_fingerprint, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op3_toxicity, op4_context_trees, op5_wrappers, op6_quality, op7_jaccard, op8_sentencepiece, op9_fingerprint, op10_mixing)}
 
 SQL: dict[str, str] = {
     "op1_url_filter": f"""
