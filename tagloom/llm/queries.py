@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contexts, digest, jaccard, mixing, pieces, quality, toxicity, urls, wrappers
+from . import contexts, digest, jaccard, media, mixing, pieces, quality, toxicity, urls, wrappers
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,14 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"), listed, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited crops of the pictures of every vector whose id is divisible by 20, searched among the pictures of all."""
+    vectors = table(spark, sf_dir, "embeddings")
+    found, members = media.copies(media.pictures(vectors.filter("vec_id % 20 = 0"), change=True), media.pictures(vectors))
+    sizes = members.groupBy("class_id").agg(F.count("*").alias("n_copies"))
+    return found.join(sizes, "class_id").select("query_id", "class_id", "inliers", "n_copies")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -54,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op3_toxicity, op4_context_trees, op5_wrappers, op6_quality, op7_jaccard, op8_sentencepiece, op9_fingerprint, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_image_copies, op3_toxicity, op4_context_trees, op5_wrappers, op6_quality, op7_jaccard, op8_sentencepiece, op9_fingerprint, op10_mixing)}
 
 SQL: dict[str, str] = {
     "op1_url_filter": f"""
