@@ -1,12 +1,71 @@
-"""A training-data pipeline over documents: each stage's rows are written as Parquet and are the next stage's documents."""
+"""A training-data pipeline over documents: each stage's rows are written as Parquet and are the next stage's documents.
+
+Every stage keeps the columns that it is given, whatever their names; the last returns tokens. A stage that
+drops documents judges all of them. Repeated doc_ids share one decision in the near-duplicate and mixing
+stages; null doc_ids are kept together as if they were one id there.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tagloom.llm import jaccard, mixing, pieces, quality, toxicity
+from tagloom.llm.common import table, written
+
+
+def _kept(docs: DataFrame, scored: DataFrame, keep) -> DataFrame:
+    return scored.filter(keep).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """The text beside the whole row, so that no name of a score can clash with a column."""
+    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier rejects."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return _kept(docs, quality.scored(_packed(docs), model, ["row"]), F.col("predicted") == 1)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the toxicity classifier rejects."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _kept(docs, toxicity.scored(_packed(docs), model, ["row"]), F.col("predicted") == 0)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near-duplicates: the one of the smallest doc_id."""
+    found = written(jaccard.near_components(docs).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_root")))
+    gone = found.filter(~F.col("_id").eqNullSafe(F.col("_root"))).select("_id").distinct()
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+    repeated = found.groupBy("_id").count().filter("count > 1").limit(1)
+    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id"])
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")).filter("_copies > 0")
+    repeated = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
+    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
+def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' piece ids."""
+    return pieces.encoded(docs.select("doc_id", "source", "text"), keep=["doc_id", "source"])
+
+
+STAGES = [("quality", quality_stage), ("toxicity", toxicity_stage), ("near_duplicates", near_duplicate_stage), ("mixing", mixing_stage), ("sentencepiece", tokens_stage)]
 
 #: SQL can't express the trained stages; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs)
+    return docs
