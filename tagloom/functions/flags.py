@@ -39,7 +39,8 @@ def parsed(value: Column) -> Column:
             F.when(up.rlike("^[1-9][0-9]*$"), up.cast("int")),
         )
 
-    return F.aggregate(F.transform(F.split(value, ","), number), F.lit(0), lambda a, b: a.bitwiseOR(b))
+    parts = F.filter(F.split(value, ","), lambda p: (value != "") | (p != ""))  # an empty text is 0
+    return F.aggregate(F.transform(parts, number), F.lit(0), lambda a, b: a.bitwiseOR(b))
 
 
 def strand(flag: Column) -> Column:
