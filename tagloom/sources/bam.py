@@ -135,7 +135,7 @@ class Part(InputPartition):
 
 
 class BamReader(DataSourceReader):
-    def __init__(self, options: dict, wanted: StructType):
+    def __init__(self, options: dict):
         self.paths = [f for p in options["path"].split(",") for f in files(p)]
         self.splits, self.core = int(options.get("splits", 1)), options.get("fields", "all") == "core"
         self.tags = schema.promoted(options.get("tags", ""))
@@ -320,10 +320,10 @@ class BamSource(DataSource):
         own = schema.promoted(self.options.get("tags", ""))
         return schema.RECORD + "".join(f", `{t}` {field_type(k)}" for t, k in own)
 
-    def reader(self, wanted: StructType) -> DataSourceReader:
-        return BamReader(dict(self.options), wanted)
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return BamReader(dict(self.options))
 
-    def writer(self, wanted: StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return BamWriter(dict(self.options), overwrite)
 
 
@@ -346,11 +346,13 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
     """Records of BAM files in any store that Spark reads, a file a task; voffset is as in the file."""
     import io
 
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = to_arrow_schema(_parse_datatype_string(schema.RECORD))
+
     def run(batches):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
 
-        kind = to_arrow_schema(_parse_datatype_string(schema.RECORD))
         fields = ("t", "i", "f", "s", "ia", "fa")
         for b in batches:
             for content in b.column(0).to_pylist():

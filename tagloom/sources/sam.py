@@ -60,7 +60,7 @@ def _written(tag: Column, v: Column) -> Column:
     real = lambda x: F.regexp_replace(short(x), r"\.(e|$)", "$1")
     array = F.concat_ws(",", F.substring(v["t"], 2, 1), F.coalesce(v["ia"].cast("array<string>"), F.transform(v["fa"], real)))
     kind = F.when(v["i"].isNotNull(), "i").when(v["ia"].isNotNull() | v["fa"].isNotNull(), "B").otherwise(v["t"])
-    return F.concat_ws(":", tag, kind, F.coalesce(v["s"], v["i"].cast("string"), real(v["f"]), array))
+    return F.concat_ws(":", tag, kind, F.coalesce(v["s"], v["i"].cast("string"), F.when(v["f"].isNotNull(), real(v["f"])), array))
 
 
 def write(records: DataFrame, path: str, header: str = "", mode: str = "error") -> None:
@@ -72,7 +72,8 @@ def write(records: DataFrame, path: str, header: str = "", mode: str = "error")
 
         if header:
             yield pa.RecordBatch.from_arrays([pa.array([header.rstrip("\n")])], ["value"])
-        yield from batches
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["value"])
 
     (text.mapInArrow(headed, "value string") if header else text).write.mode(mode).text(path)
 
