@@ -347,6 +347,6 @@ def encode_relational(docs: DataFrame, model: str = MODEL) -> DataFrame:
     bytes_at = F.array(*(F.lit(pieces.bytes_at[b]) for b in range(256)))
     lattice = lattice.withColumn("byte_ids", bytes_at)
     spelled = "transform(regexp_extract_all(hex(encode(substring(word, cuts[k] + 1, cuts[k + 1] - cuts[k]), 'UTF-8')), '(..)', 1), h -> byte_ids[cast(conv(h, 16, 10) as int)])"
-    own = lattice.select("word", F.expr(f"flatten(transform(sequence(0, size(cuts) - 2), k -> coalesce(array(edges[concat(cuts[k], ':', cuts[k + 1])].id), {spelled})))").alias("own"))
+    own = lattice.select("word", F.expr(f"flatten(transform(sequence(0, size(cuts) - 2), k -> if(edges[concat(cuts[k], ':', cuts[k + 1])].id is null, {spelled}, array(edges[concat(cuts[k], ':', cuts[k + 1])].id))))").alias("own"))
     joined = placed.join(own, "word").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("nth", "own"))).alias("all"))
     return docs.select("doc_id").join(joined, "doc_id", "left").select("doc_id", F.coalesce(F.expr("flatten(all.own)"), F.array().cast("array<int>")).alias("piece_ids"))
