@@ -12,13 +12,15 @@ never met ends the mix one depth above.
 A text's score is thus a sum over its parts, the words' ends (what follows their first REACH bytes) and
 the junctions between words, and every step works on parts or contexts rather than on texts:
 
-* One scan deals texts into blocks of about BLOCK bytes. A block is a dictionary of its parts and, for each
-  document, how often each occurs. Both are written, so block ids only need to be unique.
-* Part counts, then counts of (context, byte), come from the dictionaries by aggregation over all blocks.
+* One scan deals texts into blocks of about BLOCK bytes. A block is a dictionary of its parts, cut by hash
+  into ranges, and, for each document, how often each part occurs. Both are written, so block ids only
+  need to be unique, and travel as compressed arrays.
+* The dictionaries' pieces of one range meet in one task, which sums the parts' counts over all blocks.
+  Counts of (context, byte) come from those by aggregation.
 * Trees are cut by their two nearest context bytes, so a task holds the trees of some such pairs; what lies
   above has at most 256 * 255 + 255 nodes and is computed on the driver.
 * A part's score is looked up in the (context, byte) table if that is small enough to broadcast, and by a
-  join otherwise. Scores go back to the blocks by a join on parts, of one row for each block and part.
+  join otherwise. Scores go back to the blocks, and there to the documents.
 
 Defined results: a null or empty text is one end token; repeated rows are scored row by row; without
 training texts every binary decision has probability 1/2. Columns other than doc_id and text are ignored.
@@ -35,9 +37,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, raw, remainder, words, written
+from .common import raw, remainder, words, written
 
-DEPTH, REACH, BLOCK, END = 6, 3, 16 << 20, b"\n"
+DEPTH, REACH, BLOCK, END = 6, 3, 32 << 20, b"\n"
+#: Parts of a range, about, and the text bytes that bring a new one.
+RANGE, BYTES_A_PART = 500_000, 33
 #: Rows of the (context, byte) table that may be broadcast, at 12 bytes each.
 MOST_BROADCAST = 8_000_000
 
@@ -50,20 +54,30 @@ class Dictionary(dict):
         return out
 
 
-def packed(ids: np.ndarray, times: np.ndarray) -> bytes:
-    """Ascending numbers and how often each occurs."""
-    return zlib.compress(np.concatenate([np.diff(ids, prepend=0), times]).astype("<u4").tobytes(), 1)
+def packed(*arrays: np.ndarray) -> bytes:
+    """Integer arrays of one length, as compressed byte planes."""
+    both = np.concatenate([np.asarray(a, "<i8") for a in arrays])
+    return zlib.compress(np.ascontiguousarray(both.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    both = np.frombuffer(zlib.decompress(blob), "<u4").astype(np.int64)
-    return np.cumsum(both[: len(both) // 2]), both[len(both) // 2 :]
+def unpacked(blob: bytes, n: int) -> list[np.ndarray]:
+    both = np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view("<i8").ravel()
+    return np.split(both, n)
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """Rows (block, word, id, n) of the blocks' dictionaries, n being the occurrences in training texts, and rows (block, doc_id, held_out, bag)."""
+def listed(words: list[bytes]) -> bytes:
+    """Words and junctions, none of which holds a tab."""
+    return zlib.compress(b"\t".join(words), 1)
+
+
+def unlisted(blob: bytes) -> list[bytes]:
+    return zlib.decompress(blob).split(b"\t")
+
+
+def blocks(docs: DataFrame, ranges: int) -> DataFrame:
+    """Rows (block, range, words, ids) of the blocks' dictionaries, ids holding the words' numbers and occurrences in training texts, and rows (block, doc_id, held_out, bag)."""
     rows = docs.select("doc_id", (remainder(F.col("doc_id"), 7) == 2).alias("held_out"), "text")
-    names = ["block", "doc_id", "held_out", "bag", "word", "id", "n"]
+    names = ["block", "doc_id", "held_out", "bag", "range", "words", "ids"]
 
     def run(batches):
         def fresh():
@@ -73,15 +87,17 @@ def blocks(docs: DataFrame) -> DataFrame:
             n = np.zeros(len(found), np.int64)
             for ids, times in trained:
                 n[ids] += times
-            listed = list(found)
-            for i in range(0, len(listed), 1 << 16):
-                part = listed[i : i + (1 << 16)]
-                m = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()), pa.array(part, pa.binary()), pa.array(np.arange(i, i + m)), pa.array(n[i : i + m])], names)
+            parts: dict[int, list[bytes]] = {}
+            for w in found:
+                parts.setdefault(zlib.crc32(w) % ranges, []).append(w)
+            for k, part in parts.items():
+                part.sort()
+                ids = np.fromiter(map(found.__getitem__, part), np.int64, len(part))
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.bool_()), pa.nulls(1, pa.binary()), pa.array([k], pa.int64()), pa.array([listed(part)], pa.binary()), pa.array([packed(ids, n[ids])], pa.binary())], names)
 
         block, found, trained, size = fresh()
         for b in batches:
-            begun, bags, texts = [], [], raw(b.column("text"))
+            done, bags, texts = 0, [], raw(b.column("text"))
             for k, (t, held) in enumerate(zip(texts, b.column("held_out").to_pylist(), strict=True)):
                 tokens = words(t)
                 joints = [b" " + a[-REACH:] + b" " + (w + b" ")[:REACH] for a, w in zip([b"", *tokens], tokens)]
@@ -90,30 +106,50 @@ def blocks(docs: DataFrame) -> DataFrame:
                 ids, times = np.unique(np.fromiter(map(found.__getitem__, tokens), np.int64, len(tokens)), return_counts=True)
                 if not held:
                     trained.append((ids, times))
-                bags.append(packed(ids, times))
+                bags.append(packed(np.diff(ids, prepend=0), times))
                 size += len(t)
                 if size > BLOCK or k == len(texts) - 1:
-                    lo, m = len(begun), len(bags)
-                    begun += [block] * m
-                    yield pa.RecordBatch.from_arrays([pa.array(begun[lo:], pa.int64()), b.column("doc_id").slice(lo, m).cast(pa.int64()), b.column("held_out").slice(lo, m), pa.array(bags, pa.binary()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
-                    bags = []
+                    m = len(bags)
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * m, pa.int64()), b.column("doc_id").slice(done, m).cast(pa.int64()), b.column("held_out").slice(done, m), pa.array(bags, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names)
+                    done, bags = done + m, []
                     if size > BLOCK:
                         yield from closed()
                         block, found, trained, size = fresh()
         if found:
             yield from closed()
 
-    return rows.mapInArrow(run, "block long, doc_id long, held_out boolean, bag binary, word binary, id long, n long")
+    return rows.mapInArrow(run, "block long, doc_id long, held_out boolean, bag binary, range long, words binary, ids binary")
+
+
+def merged(made: DataFrame) -> DataFrame:
+    """A row for each range: its words, their counts c, how many of them are training tokens (train, kinds), and for each block the words' places here and numbers there."""
+
+    def meet(group: pa.Table) -> pa.Table:
+        found, places, c = Dictionary(), [], []
+        for blob, ids in zip(group["words"].to_pylist(), group["ids"].to_pylist(), strict=True):
+            own = unlisted(blob)
+            at = np.fromiter(map(found.__getitem__, own), np.int64, len(own))
+            ids, n = unpacked(ids, 2)
+            places.append(packed(at, ids))
+            c.append((at, n))
+        total = np.zeros(len(found), np.int64)
+        for at, n in c:
+            total[at] += n
+        token = np.fromiter((w[:1] != b" " for w in found), bool, len(found))
+        return pa.table({"range": group["range"][:1], "words": pa.array([listed(list(found))], pa.binary()), "c": pa.array([packed(total)], pa.binary()), "train": pa.array([int(total[token].sum())]), "kinds": pa.array([int((total[token] > 0).sum())]), "blocks": pa.array([group["block"].to_pylist()], pa.list_(pa.int64())), "places": pa.array([places], pa.list_(pa.binary()))})
 
+    dictionaries = made.filter("words is not null").select("block", "range", "words", "ids")
+    return dictionaries.groupBy("range").applyInArrow(meet, "range long, words binary, c binary, train long, kinds long, blocks array<long>, places array<binary>")
 
-def spelled(listed: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+
+def spelled(found: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The (context, byte) keys of parts, the nearest context byte highest, and how many each part has.
 
     A part that begins with a space is a junction: the end of one word, a space, and the bytes to predict.
     Any other is a word, of which the bytes after the first REACH are predicted.
     """
-    known = [w.rindex(b" ", 0, -1) if w[:1] == b" " else REACH for w in listed]
-    parts = [w[1:] if w[:1] == b" " else w + b" " if w != END else b"" for w in listed]
+    known = [w.rindex(b" ", 0, -1) if w[:1] == b" " else REACH for w in found]
+    parts = [w[1:] if w[:1] == b" " else w + b" " if w != END else b"" for w in found]
     whole = np.fromiter(map(len, parts), np.int64, len(parts))
     first = np.minimum(np.array(known, np.int64), whole)
     size = whole - first
@@ -256,72 +292,93 @@ def model(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def counted(vocabulary: DataFrame, depth: int) -> DataFrame:
-    """gram, n over a vocabulary (word, c)."""
+    """gram, n over the merged ranges."""
 
     def run(batches):
         for b in batches:
-            key, size = spelled(b.column("word").to_pylist(), depth)
-            key, n = summed(key, np.repeat(b.column("c").to_numpy(zero_copy_only=False), size))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["gram", "n"])
+            for blob, c in zip(b.column("words").to_pylist(), b.column("c").to_pylist(), strict=True):
+                key, size = spelled(unlisted(blob), depth)
+                key, n = summed(key, np.repeat(unpacked(c, 1)[0], size))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["gram", "n"])
+
+    return vocabulary.select("words", "c").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+
+
+def returned(row: dict, lp: np.ndarray, size: np.ndarray):
+    """A range's scores for each of its blocks: numbers, counts (-1 for a junction, which is no token), sizes, and log10 probabilities."""
+    c = unpacked(row["c"], 1)[0]
+    c = np.where(np.fromiter((w[:1] != b" " for w in unlisted(row["words"])), bool, len(c)), c, -1)
+    for block, places in zip(row["blocks"], row["places"], strict=True):
+        at, ids = unpacked(places, 2)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed(ids, c[at], size[at])], pa.binary()), pa.array([lp[at].astype("<f4").tobytes()], pa.binary())], ["of", "known", "lp"])
 
-    return vocabulary.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
+SCORES = "of long, known binary, lp binary"
 
-def word_scores(vocabulary: DataFrame, probabilities: DataFrame, depth: int, most: int = MOST_BROADCAST) -> DataFrame:
-    """word, c, lp, size: the log10 probability of each part and its number of bytes."""
+
+def part_scores(vocabulary: DataFrame, probabilities: DataFrame, depth: int, most: int = MOST_BROADCAST) -> DataFrame:
+    """Rows (of: the block, known, lp) with the scores of some of a block's parts."""
     if probabilities.count() <= most:
         got = probabilities.toArrow()
         key, lp = got["gram"].to_numpy().view(np.uint64), got["lp"].to_numpy().astype(np.float32)
         order = np.argsort(key)
         sent = vocabulary.sparkSession.sparkContext.broadcast((key[order], lp[order]))
+        del got, key, lp, order
 
         def run(batches):
             keys, values = sent.value
             for b in batches:
-                key, size = spelled(b.column("word").to_pylist(), depth)
-                each = values[np.searchsorted(keys, key)].astype(float)
-                lp = np.bincount(np.repeat(np.arange(len(size)), size), each, len(size))
-                yield pa.RecordBatch.from_arrays([b.column("word"), b.column("c"), pa.array(lp), pa.array(size.astype(np.int32))], ["word", "c", "lp", "size"])
+                for row in b.to_pylist():
+                    key, size = spelled(unlisted(row["words"]), depth)
+                    each = values[np.searchsorted(keys, key)].astype(float)
+                    yield from returned(row, np.bincount(np.repeat(np.arange(len(size)), size), each, len(size)), size)
 
-        return vocabulary.mapInArrow(run, "word binary, c long, lp double, size int")
+        return vocabulary.mapInArrow(run, SCORES)
 
     def exploded(batches):
         for b in batches:
-            key, size = spelled(b.column("word").to_pylist(), depth)
-            at = pa.array(np.repeat(np.arange(len(size)), size))
-            yield from pa.Table.from_arrays([b.column("word").take(at), b.column("c").take(at), pa.array(key.view(np.int64))], ["word", "c", "gram"]).to_batches(1 << 16)
+            for row in b.select(["range", "words"]).to_pylist():
+                key, size = spelled(unlisted(row["words"]), depth)
+                at = np.repeat(np.arange(len(size)), size)
+                yield from pa.Table.from_arrays([pa.array(np.full(len(at), row["range"])), pa.array(at), pa.array(key.view(np.int64))], ["r", "at", "gram"]).to_batches(1 << 16)
+
+    some = vocabulary.mapInArrow(exploded, "r long, at long, gram long").join(probabilities, "gram").groupBy("r", "at").agg(F.sum("lp").alias("lp"), F.count("*").alias("size"))
+
+    def give(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        n = len(unpacked(row["c"], 1)[0])
+        lp, size = np.zeros(n), np.zeros(n, np.int64)
+        lp[right["at"].to_numpy()], size[right["at"].to_numpy()] = right["lp"].to_numpy(), right["size"].to_numpy()
+        return pa.Table.from_batches(list(returned(row, lp, size)))
 
-    some = vocabulary.mapInArrow(exploded, "word binary, c long, gram long").join(probabilities, "gram").groupBy("word").agg(F.sum("lp").alias("lp"), F.count("*").alias("size"))
-    return vocabulary.join(some, "word", "left").select("word", "c", F.coalesce("lp", F.lit(0.0)).alias("lp"), F.coalesce("size", F.lit(0)).cast("int").alias("size"))
+    return vocabulary.groupBy("range").cogroup(some.groupBy("r")).applyInArrow(give, SCORES)
 
 
 def scored(docs: DataFrame, depth: int = DEPTH, most: int = MOST_BROADCAST) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes (of the scored bytes) and bits_per_byte."""
-    made = written(blocks(docs))
-    entries = made.filter("word is not null").select("block", "word", "id", "n")
-    vocabulary = written(entries.groupBy("word").agg(F.sum("n").alias("c")))
-    is_word = ~F.startswith("word", F.lit(b" "))
-    n_train, n_kinds = vocabulary.filter((F.col("c") > 0) & is_word).agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    made = written(blocks(docs, 1 + size // BYTES_A_PART // RANGE))
+    vocabulary = written(merged(made))
+    n_train, n_kinds = vocabulary.agg(F.coalesce(F.sum("train"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     grams = written(counted(vocabulary, depth))
     probabilities = written(model(grams, depth))
-    scores = written(word_scores(vocabulary, probabilities, depth, most))
-    for x in (grams, probabilities, vocabulary):
-        dropped(x)
-    # A junction is no token: c is null.
-    looked_up = entries.select("block", "word", "id").join(scores, "word").select(F.col("block").alias("of"), F.col("id").cast("int").alias("id"), F.when(is_word, F.col("c")).alias("c"), "lp", "size")
-    texts = made.filter("word is null").select("block", "doc_id", "held_out", "bag")
+    scores = part_scores(vocabulary, probabilities, depth, most)
+    texts = made.filter("bag is not null").select("block", "doc_id", "held_out", "bag")
     floor = log10(n_train + n_kinds + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right["id"].to_numpy())
-        c, lp, size = (right[k].fill_null(-1).to_numpy()[order] for k in ("c", "lp", "size"))
+        known = [unpacked(b, 3) for b in right["known"].to_pylist()]
+        order = np.argsort(np.concatenate([k[0] for k in known]))
+        c, size = (np.concatenate([k[i] for k in known])[order] for i in (1, 2))
+        lp = np.concatenate([np.frombuffer(b, "<f4") for b in right["lp"].to_pylist()]).astype(float)[order]
         token = c >= 0
         base, out = np.where(token, np.log10(np.maximum(c, 0) + 1.0) - floor, 0), []
         for blob in left["bag"].to_pylist():
-            ids, times = unpacked(blob)
+            ids, times = unpacked(blob, 2)
+            ids = np.cumsum(ids)
             out.append((int(times[token[ids]].sum()), int(times[c[ids] > 0].sum()), float(times @ base[ids]), float(times @ lp[ids]), int(times @ size[ids])))
         n_tokens, n_known, base_score, total, n_bytes = zip(*out, strict=True)
         return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": base_score, "score": total, "n_bytes": pa.array(n_bytes, pa.int64())})
 
-    out = texts.groupBy("block").cogroup(looked_up.groupBy("of")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    out = texts.groupBy("block").cogroup(scores.groupBy("of")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", (F.col("score") / -log10(2) / F.col("n_bytes")).alias("bits_per_byte"))
