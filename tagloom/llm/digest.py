@@ -3,8 +3,8 @@
 The canonical text is the text under Unicode compatibility composition (NFKC), lower case and NFKC
 again, with every run of white space folded to one space and none at either end. Its digest is wide:
 two 64-bit xxhashes, of the text and of the text behind a mark, which give 32 hexadecimal digits. Rows
-of one digest form a bucket; in buckets of several rows each canonical text is compared, byte by byte,
-with the bucket's first, and a text that differs gets its own SHA-256 behind the digest. Texts with the
+of one digest form a bucket; in buckets of several rows the canonical texts are compared byte by byte,
+and where they differ each gets its SHA-256 behind the digest. Texts with the
 same canonical form thus share a fingerprint, and others never do.
 
 Defined results: a null text counts as empty, and all empty texts share a fingerprint; repeated rows and
@@ -21,9 +21,11 @@ from .common import written
 
 
 #: Of Unicode's White_Space, what NFKC doesn't turn into a space.
-SPACES = r"[\x09-\x0D\x20\x85   ]+"
+SPACES = r"[\x09-\x0D\x20\x85\u1680\u2028\u2029]+"
 #: Text in a bucket of neighbouring doc_ids, and how many buckets there may be: the list of their first doc_ids is broadcast.
 BUCKET_BYTES, MOST_BUCKETS, QUANTILES = 8 << 20, 1 << 16, 256
+#: Bits that tell tasks which digests several rows have: 1 MB.
+SLOTS = 1 << 23
 
 
 def nfkc(text: Column) -> Column:
@@ -43,20 +45,43 @@ def wide(canon: Column) -> Column:
     return F.concat(part(canon), part(F.lit("tagloom"), canon))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, digest, fingerprint, class_id: the smallest doc_id of the same canonical text.
+def digested(docs: DataFrame) -> DataFrame:
+    return docs.select("*", wide(canonical(F.coalesce("text", F.lit("")))).alias("digest"))
+
+
+def buckets(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(digest, class_id) of the digests of several rows, class_id being their smallest doc_id, and (digest) of those whose canonical texts differ.
 
-    In a bucket of several rows, canonical texts are compared with the bucket's first. The join is on the
-    digest, whose hot values adaptive execution splits; its other side has one row a bucket.
+    Only texts of such digests need to be compared. Which they are goes to the tasks as a bitmap of SLOTS
+    bits, whatever the number of documents; what it lets through by chance is compared with itself. Texts
+    are compared as the least and the greatest of a digest, which are found before the shuffle.
     """
-    rows = docs.select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("canon")).withColumn("digest", wide(F.col("canon")))
-    firsts = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1").select(F.col("digest").alias("d"), "first_id")
-    at_first = (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    texts = rows.join(firsts, at_first).groupBy("d").agg(F.min("canon").alias("first_text"))
-    held = rows.join(texts, F.col("digest") == F.col("d"), "left")
-    other = F.col("first_text").isNotNull() & (F.col("canon") != F.col("first_text"))
-    held = held.select("doc_id", "digest", F.when(other, F.concat_ws("-", "digest", F.sha2("canon", 256))).otherwise(F.col("digest")).alias("fingerprint"))
-    return held.join(held.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")), "fingerprint").select("doc_id", "digest", "fingerprint", "class_id")
+    several = written(digested(docs.select("doc_id", "text")).groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id")).filter("n > 1").select("digest", "class_id"))
+    slot = F.pmod(F.xxhash64("digest"), F.lit(SLOTS))
+    bits = several.select(slot.alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    rows = docs.select(canonical(F.coalesce("text", F.lit(""))).alias("canon")).withColumn("digest", wide(F.col("canon"))).withColumn("slot", slot)
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(slot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    held = rows.join(F.broadcast(bits), F.bitmap_bucket_number("slot") == F.col("part")).filter(F.getbit(byte, (F.bitmap_bit_position("slot") % 8).cast("int")) == 1)
+    differing = held.groupBy("digest").agg(F.min("canon").alias("least"), F.max("canon").alias("greatest")).filter("least <> greatest").select("digest")
+    return several, written(differing)
+
+
+def settled(rows: DataFrame, several: DataFrame, differing: DataFrame) -> DataFrame:
+    """Rows (doc_id, digest, whole: the canonical text's SHA-256) with fingerprint and class_id."""
+    rows = rows.join(several, "digest", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    if differing.isEmpty():
+        return rows.withColumn("fingerprint", F.col("digest"))
+    apart = differing.withColumn("apart", F.lit(True))
+    rows = rows.join(apart, "digest", "left").withColumn("fingerprint", F.when(F.col("apart"), F.concat_ws("-", "digest", "whole")).otherwise(F.col("digest"))).drop("apart")
+    least = rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    return rows.join(least, "fingerprint").withColumn("class_id", F.col("least")).drop("least")
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, fingerprint, class_id: the smallest doc_id of the same canonical text."""
+    canon = canonical(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", wide(canon).alias("digest"), F.sha2(canon, 256).alias("whole"))
+    return settled(rows, *buckets(docs)).select("doc_id", "fingerprint", "class_id")
 
 
 def followed(docs: DataFrame, extra: list[str]) -> DataFrame:
@@ -113,9 +138,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         same = F.when(F.col("digest") == F.col(digest), canonical(F.col("text")) == canonical(F.col(text)))
         return F.coalesce(same, F.lit(False)).cast("double")
 
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digest", F.col("edited_digest").alias("edited_fingerprint"), likeness("edited_digest", "edited").alias("near_edited"), likeness("next_digest", "next_text").alias("near_next"))
-    # A repeated doc_id has a row for each of its rows; those of one digest are alike.
-    classes = fingerprints(docs).groupBy("doc_id", "digest").agg(F.min("fingerprint").alias("fingerprint"), F.min("class_id").alias("class_id"))
-    classes = classes.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), "fingerprint", "class_id")
-    joined = rows.join(classes, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")))
-    return joined.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id")
+    found = buckets(docs)
+    whole = F.sha2(canonical(F.col("text")), 256) if not found[1].isEmpty() else F.lit(None).cast("string")
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digest", whole.alias("whole"), "edited_digest", likeness("edited_digest", "edited").alias("near_edited"), likeness("next_digest", "next_text").alias("near_next"))
+    return settled(rows, *found).select("doc_id", "n_chars", "edited_sha256", "fingerprint", F.col("edited_digest").alias("edited_fingerprint"), "near_edited", "near_next", "class_id")
