@@ -2,7 +2,8 @@
 
 A document's set holds the 64-bit hashes of its distinct shingles. Documents of the same set (by a 128-bit
 digest) form a class and are compared through one of them. The shingles of a set are ordered rare first:
-by document frequency, where that is high enough to matter, then by hash. Two sets that are similar enough
+by document frequency, then by hash. Frequencies are counted over all classes, in ranges of the hash
+space; tasks get them as a bitmap of what several classes share and a bounded table of frequent ones. Two sets that are similar enough
 share at least l shingles among the first |x| - ceil(t |x|) + l of each, so classes are joined on those.
 A pair's shared prefix shingles are counted, and the length filter, the positional filter (shared so far
 plus what both have left) and the count itself drop most pairs; a suffix filter that compares the sets'
@@ -20,23 +21,27 @@ Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import raw, words, written
+from .common import dropped, raw, words, written
 from .graph import components
 from .urls import filled, key_hash
 
 WORDS, PERCENT = 5, 75
-#: At most so many shingles are told apart by frequency: those of at least 1/MOST_FREQUENT of all occurrences.
-MOST_FREQUENT = 1 << 20
-#: A task counts shingles in lots of so many; words it remembers; the most that a filter of class ids is sized for.
-LOT, REMEMBERED, MOST_FILTERED = 1 << 22, 1_000_000, 1 << 25
+#: Shingles told apart by frequency, at most; those of a lower count than the next only matter as "several".
+MOST_FREQUENT, COUNTED = 1 << 21, 4
+#: Bits that tell which shingles several classes may share: 16 MB.
+BITMAP = 27
+#: A task counts shingles in lots of so many, and a range of the hash space holds so many; words it remembers; the most that a filter of class ids is sized for.
+LOT, RANGE, REMEMBERED, MOST_FILTERED = 1 << 21, 1 << 21, 200_000, 1 << 25
 #: An l-prefix asks for one shared shingle more for each so many shingles.
-STRIDE, ROUNDS, FEW = 16, 6, 4
+STRIDE, ROUNDS, FEW = 32, 6, 4
 
 
 class Shingler(dict):
@@ -79,18 +84,28 @@ def signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def summarised(docs: DataFrame, n: int) -> DataFrame:
-    """A row (0, doc_id, n, c1, c2) for each document, and rows (1, shingle, count) for those that a task met in several classes."""
+def packed(slots: np.ndarray) -> bytes:
+    """Ascending numbers, as compressed byte planes of their differences."""
+    return zlib.compress(np.ascontiguousarray(np.diff(slots, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view("<u8").ravel())
+
+
+def summarised(docs: DataFrame, n: int, bits: int, ranges: int) -> DataFrame:
+    """A row (doc_id, n, c1, c2) for each document, and rows (range, slots): each lot's shingle hashes cut to so many bits, once a class."""
+    names, shift = ["doc_id", "n", "c1", "c2", "range", "slots"], np.uint64(64 - bits)
 
     def run(batches):
         shingler, seen, lots, size = Shingler(n), set(), [], 0
 
         def counted():
-            h, times = np.unique(np.concatenate(lots), return_counts=True)
-            h, times = h[times > 1], times[times > 1]
-            for i in range(0, len(h), 1 << 16):
-                m = len(h[i : i + (1 << 16)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, np.int32)), signed(h[i : i + m]), pa.array(times[i : i + m]), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())], names)
+            slots = np.sort(np.concatenate(lots) >> shift)
+            ends = np.searchsorted(slots, np.arange(1, ranges, dtype=np.uint64) << np.uint64(bits - ranges.bit_length() + 1))
+            for k, part in enumerate(np.split(slots, ends)):
+                if len(part):
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([k], pa.int64()), pa.array([packed(part)], pa.binary())], names)
 
         for b in batches:
             sizes, ones, twos = [], [], []
@@ -104,26 +119,69 @@ def summarised(docs: DataFrame, n: int) -> DataFrame:
                     seen.add(c)
                     lots.append(found)
                     size += len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sizes), np.int32)), b.column("doc_id").cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (sizes, ones, twos))], names)
+            m = len(sizes)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (sizes, ones, twos)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names)
             if size > LOT:
                 yield from counted()
                 lots, size, seen = [], 0, set()
         if lots:
             yield from counted()
 
-    names = ["kind", "a", "n", "c1", "c2"]
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, a long, n long, c1 long, c2 long")
-
-
-def prefixes(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """h, c1, c2, n, pos: the l-prefix of each set in rare-first order."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, range long, slots binary")
+
+
+class Frequencies:
+    """What tasks need to know of document frequencies: which shingles several classes may share, and the counts of frequent ones."""
+
+    def __init__(self, lots: DataFrame, bits: int, ranges: int):
+        segment = 1 << max(3, BITMAP - ranges.bit_length() + 1)
+
+        def count(group: pa.Table) -> pa.Table:
+            slots = np.concatenate([unpacked(b) for b in group["slots"].to_pylist()])
+            slots, times = np.unique(slots, return_counts=True)
+            some = slots[times > 1]
+            marks = np.zeros(segment, np.uint8)
+            marks[(some >> np.uint64(bits - BITMAP)).astype(np.int64) % segment] = 1
+            often = times >= COUNTED
+            k = int(often.sum())
+            return pa.table({"range": pa.array([group["range"][0].as_py()] * (1 + k), pa.int64()), "slot": pa.array([None, *slots[often].tolist()], pa.int64()), "n": pa.array([None, *times[often].tolist()], pa.int64()), "bits": pa.array([np.packbits(marks).tobytes()] + [None] * k, pa.binary())})
+
+        made = written(lots.groupBy("range").applyInArrow(count, "range long, slot long, n long, bits binary"))
+        # The frequent ones are those above a count that at most MOST_FREQUENT shingles reach.
+        known = made.filter("slot is not null").select("slot", "n", F.floor(F.log2("n") * 2).cast("int").alias("level"))
+        total, least = 0, 99
+        for level, n in sorted(((r["level"], r["count"]) for r in known.groupBy("level").count().collect()), reverse=True):
+            if total + n > MOST_FREQUENT:
+                break
+            total, least = total + n, level
+        found = known.filter(F.col("level") >= least).select("slot", F.col("level").cast("byte").alias("level")).toArrow().sort_by("slot")
+        self.bits, self.slots, self.levels = bits, found["slot"].to_numpy().astype(np.uint64), found["level"].to_numpy().astype(np.int8)
+        self.marks = np.zeros(max(ranges * segment, 1 << BITMAP) // 8, np.uint8)
+        for row in made.filter("bits is not null").select("range", "bits").toLocalIterator():
+            self.marks[row["range"] * segment // 8 : (row["range"] + 1) * segment // 8] = np.frombuffer(row["bits"], np.uint8)
+        dropped(made)
+
+    def of(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For sorted shingle hashes: whether several classes may share each, and its level of frequency."""
+        at = (found >> np.uint64(64 - BITMAP)).astype(np.int64)
+        shared = self.marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0
+        level = np.zeros(len(found), np.int8)
+        some = np.flatnonzero(shared)
+        if len(some) and len(self.slots):
+            slots = found[some] >> np.uint64(64 - self.bits)
+            at = np.searchsorted(self.slots, slots)
+            at[at == len(self.slots)] = 0
+            level[some] = np.where(self.slots[at] == slots, self.levels[at], 0)
+        return shared, level
+
+
+def prefixes(docs: DataFrame, n: int, percent: int, frequencies: Frequencies) -> DataFrame:
+    """h, c1, c2, n, pos: the l-prefix of each set in rare-first order, without shingles that no other class has."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequencies)
     names = ["h", "c1", "c2", "n", "pos"]
 
     def run(batches):
-        shingler, seen, (keys, times) = Shingler(n), set(), sent.value
-        maybe = np.zeros(1 << 20, bool)
-        maybe[(keys >> np.uint64(44)).astype(np.int64)] = True
+        shingler, seen = Shingler(n), set()
         for b in batches:
             out = []
             for t in raw(b.column("text")):
@@ -137,20 +195,14 @@ def prefixes(docs: DataFrame, n: int, percent: int, frequent: tuple[np.ndarray,
                     seen.clear()
                 seen.add(c)
                 m = len(found)
-                some = np.flatnonzero(maybe[(found >> np.uint64(44)).astype(np.int64)])
-                if len(some):
-                    at = np.searchsorted(keys, found[some])
-                    at[at == len(keys)] = 0
-                    df = np.zeros(m, np.int64)
-                    df[some] = np.where(keys[at] == found[some], times[at], 0)
-                    found = found[np.lexsort((found, df))]
-                p = m - (-(-percent * m // 100)) + prefix_share(m)
-                out.append((found[:p], c, m))
-            if out:
-                size = np.array([len(f) for f, _, _ in out])
+                shared, level = sent.value.of(found)
+                order = np.argsort(level, kind="stable")[: m - (-(-percent * m // 100)) + prefix_share(m)]
+                pos = np.flatnonzero(shared[order])
+                out.append((found[order[pos]], pos, c, m))
+            size = np.array([len(f) for f, *_ in out], np.int64)
+            if size.sum():
                 each = lambda x: pa.array(np.repeat(np.array(x, np.int64), size))
-                pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                yield from pa.Table.from_arrays([signed(np.concatenate([f for f, _, _ in out])), each([c[0] for _, c, _ in out]), each([c[1] for _, c, _ in out]), each([m for _, _, m in out]).cast(pa.int32()), pa.array(pos.astype(np.int32))], names).to_batches(1 << 16)
+                yield from pa.Table.from_arrays([signed(np.concatenate([f for f, *_ in out])), each([c[0] for *_, c, _ in out]), each([c[1] for *_, c, _ in out]), each([m for *_, m in out]).cast(pa.int32()), pa.array(np.concatenate([p for _, p, *_ in out]).astype(np.int32))], names).to_batches(1 << 16)
 
     return docs.select("text").mapInArrow(run, "h long, c1 long, c2 long, n int, pos int")
 
@@ -161,7 +213,7 @@ def prefix_share(n):
 
 
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """doc_id, grams: the sets of the documents in ids (id). A filter of bounded size spares most others the work; a join drops the rest."""
+    """doc_id, grams: the sets of the documents in ids (id), and of a few others that a filter of bounded size lets through; joins drop those."""
     keys = ids.select(key_hash(F.col("id")).alias("h"))
     bloom = docs.sparkSession.sparkContext.broadcast(filled(keys, min(MOST_FILTERED, ids.count()), 0, 0.01))
 
@@ -214,21 +266,26 @@ def passed(rows: DataFrame, percent: int) -> DataFrame:
 
 def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id."""
-    rows = written(summarised(docs, n))
-    each = rows.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), "c1", "c2")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = 1 << max(0, (size // 6 // RANGE).bit_length())
+    bits = min(62, max(32, size.bit_length() + 2))
+    rows = written(summarised(docs, n, bits, ranges))
+    each = rows.filter("slots is null").select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2")
     classes = written(each.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("id")).filter("id is not null"))
-    total = rows.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
-    common = rows.filter("kind = 1").groupBy("a").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(3, total // MOST_FREQUENT)).toArrow().sort_by("a")
-    keys = common["a"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    frequent = (keys[order], common["n"].to_numpy()[order])
+    frequencies = Frequencies(rows.filter("slots is not null").select("range", "slots"), bits, ranges)
 
     # One shuffle by shingle: copies of a class from different tasks fall together, and shingles of one class go.
-    shuffled = prefixes(docs, n, percent, frequent).repartition("h").groupBy("h", "c1", "c2", "n", "pos").agg(F.lit(0).alias("x")).drop("x")
+    shuffled = prefixes(docs, n, percent, frequencies).repartition("h").groupBy("h", "c1", "c2", "n", "pos").agg(F.lit(0).alias("x")).drop("x")
     shared = shuffled.withColumn("k", F.count("*").over(Window.partitionBy("h"))).filter("k > 1").drop("k")
-    index = written(shared.join(classes, ["c1", "c2"]).select("h", "id", "n", "pos"))
-    ids = written(index.select("id").distinct())
-    sets = written(sets_of(docs, ids, n).join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]))
+    index = shared.join(classes, ["c1", "c2"]).select("h", "id", "n", "pos")
+    index = written(index)
+    # What a class shares with all others together bounds what it shares with one, whose size is at least percent of its own.
+    least = F.expr(f"(n * {percent} div 100) div {STRIDE} + 1")
+    possible = (F.col("k") >= least) & (F.col("k") + F.col("n") - F.col("last") - 1 >= F.ceil(F.col("n") * percent / 100))
+    ids = written(index.groupBy("id").agg(F.count("*").alias("k"), F.max("pos").alias("last"), F.first("n").alias("n")).filter(possible).select("id"))
+    whole, index = index, written(index.join(ids, "id", "left_semi"))
+    dropped(whole)
+    sets = written(sets_of(docs, ids, n))
     roots, tried = None, None
 
     def placed() -> DataFrame:
