@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import appended, raw, remainder
 from .learning import Buckets, Rows, gathered, labelled, sigmoid
 
-N_BUCKETS, BINS, RANK, SAMPLE, EPOCHS, BATCH, RATE, L2, THRESHOLD = 1 << 14, 12, 8, 20_000, 12, 256, 0.1, 1e-4, 0.3
+N_BUCKETS, BINS, RANK, SAMPLE, EPOCHS, BATCH, RATE, L2, THRESHOLD = 1 << 14, 12, 8, 8_000, 12, 256, 0.1, 1e-4, 0.3
 UPPER, DIGITS = bytes(range(65, 91)), b"0123456789"
 LOWER = bytes(range(97, 123))
 SYMBOLS, STOPS = b"%&$*#@^~|<>{}[]\\=+_", b".!?"

@@ -39,7 +39,7 @@ GROUPS = (
     ("american", "mexican", "chinese", "indian", "german", "french", "russian", "japanese"),
     ("blind", "deaf", "disabled", "autistic", "elderly", "young"),
 )
-N_BUCKETS, SAMPLE, STEADY, L1, ROUNDS = 1 << 20, 20_000, 4.0, 1e-4, 120
+N_BUCKETS, SAMPLE, STEADY, L1, ROUNDS = 1 << 20, 8_000, 4.0, 1e-4, 120
 #: Features enter training if the labels' shares with and without them differ by so many standard errors; label 1 weighs so much more, at most.
 TELLING, MOST_WEIGHT = 2.5, 6.0
 
@@ -97,6 +97,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     x = Rows([])
     x.n, x.of, x.col = len(y), of[telling[col]], col[telling[col]]
     x.val = np.ones(len(x.col))
+    del flat, col, of
     pairs = [(a, b) for p in found["pairs"].to_pylist() for a, b in p]
     pairs += [(buckets.of([g[0].encode()]), buckets.of([t.encode()])) for g in GROUPS for t in g[1:]]
     swapped = Rows([np.array([*a, *b], np.int64) for a, b in pairs], [np.array([-1.0] * len(a) + [1.0] * len(b)) for a, b in pairs])
