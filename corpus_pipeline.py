@@ -1,8 +1,8 @@
 """A training-data pipeline over documents: each stage's rows are written as Parquet and are the next stage's documents.
 
 Every stage keeps the columns that it is given, whatever their names; the last returns tokens. A stage that
-drops documents judges all of them. Repeated doc_ids share one decision in the near-duplicate and mixing
-stages; null doc_ids are kept together as if they were one id there.
+drops documents judges all of them. The near-duplicate stage tells rows apart whatever their doc_ids; repeated
+doc_ids share one decision in the mixing stage, where null doc_ids are kept together as if they were one id.
 """
 
 from __future__ import annotations
@@ -36,12 +36,19 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near-duplicates: the one of the smallest doc_id."""
-    found = written(jaccard.near_components(docs).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_root")))
-    gone = found.filter(~F.col("_id").eqNullSafe(F.col("_root"))).select("_id").distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    repeated = found.groupBy("_id").count().filter("count > 1").limit(1)
-    return left if repeated.isEmpty() else left.dropDuplicates(["doc_id"])
+    """Keeps one document of each group of near-duplicates: the one of the smallest doc_id, a null one last.
+
+    Rows are linked and dropped by a key of their own, for doc_ids may be null or repeated. It is written
+    with them, so that every plan sees the same one.
+    """
+    keyed = written(_packed(docs).select("row", F.monotonically_increasing_id().alias("key")))
+    found = jaccard.near_components(keyed.select(F.col("key").alias("doc_id"), F.col("row").getField("text").alias("text")))
+    found = written(found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("root")))
+    ids = keyed.select("key", F.col("row").getField("doc_id").alias("id"))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"]
+    heads = found.join(ids, "key").groupBy("root").agg(first.alias("head"), F.count("*").alias("n")).filter("n > 1")
+    gone = found.join(heads, "root").filter("key <> head").select("key")
+    return keyed.join(gone, "key", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,6 +69,20 @@ def test_stages(spark, made):
     assert all(r.ids_crc == zlib.crc32(encoder.encode([(text[r.doc_id] or "").encode()])[0].astype("<i4").tobytes()) for r in tokens)
 
 
+def test_near_duplicates_go_by_rows(spark, made):
+    """Null and repeated doc_ids are no reason to drop a row; near-duplicates with null ids are."""
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(None, words(k)) for k in range(30)]  # texts of their own under the null id
+    rows += [(None, words(k) + " more") for k in range(5)]  # near-duplicates of null ids only
+    rows += [(7, words(50)), (7, words(51)), (None, words(51)), (8, words(50) + " more"), (9, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, "kept", 5) for i, t in rows], "doc_id long, text string, key string, row int").repartition(3)
+    left = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, made)
+    got = left.collect()
+    assert left.columns == docs.columns and all((r.key, r.row) == ("kept", 5) for r in got)
+    # Of two null ids either may stay, of a null id and another the other one, of two ids the smaller.
+    assert Counter((r.doc_id, (r.text or "").removesuffix(" more")) for r in got) == Counter([(None, words(k)) for k in range(30)] + [(7, words(50)), (7, words(51)), (9, ""), (9, "")])
+
+
 def test_run_applies_the_stages(spark, made):
     docs = spark.read.parquet(f"{made}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
