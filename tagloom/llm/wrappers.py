@@ -3,7 +3,8 @@
 1. Each page is read into a tree of its block elements, labelled by tag, id and class, in which neighbours
    of one label are merged. Such skeletons are counted for each host over all pages.
 2. A host's skeletons are merged, the commonest first, into one template tree by simple tree matching: of
-   two equally labelled nodes the children are aligned in order so that the most nodes match.
+   two equally labelled nodes the children are aligned in order so that the most nodes match. All are merged,
+   in lots by their hash, lots of lots and then by host, so that no task holds all of a hot host's.
 3. Each page is aligned with its host's template, and the texts of each template node are counted over all
    pages. A text that most pages of a node share is constant, that is template.
 4. The main text is what is left: the blocks of varying slots. Within <article> or <main>, if a page has
@@ -28,13 +29,15 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .urls import host_of
 
-DEEPEST, MOST_SKELETONS, SHARED, FEWEST, BROADCAST_BYTES = 80, 64, 0.6, 5, 32 << 20
+DEEPEST, SHARED, FEWEST, BROADCAST_BYTES = 80, 0.6, 5, 32 << 20
+#: Into so many lots a host's skeletons are dealt, step by step; each number divides the one before.
+LOTS = (4096, 64, 1)
 
 #: Elements that make blocks, that hold no text to show, that close an open paragraph or sibling, and that stand alone.
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -287,15 +290,15 @@ def skeletons(pages: DataFrame) -> DataFrame:
 
 def wrappers(pages: DataFrame) -> DataFrame:
     """pages (host, html) -> host, template, constants: the hashes "node:crc32" of texts that most pages of a node share."""
-    top = Window.partitionBy("host").orderBy(F.col("n").desc(), "shape")
-    ranked = skeletons(pages).withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= MOST_SKELETONS)
-    grouped = ranked.groupBy("host").agg(F.collect_list(F.struct("shape", "n")).alias("shapes"))
-
     def induce(batches):
         for b in batches:
-            yield pa.RecordBatch.from_pylist([{"host": r["host"], "template": induced([(s["shape"], s["n"]) for s in r["shapes"]])} for r in b.to_pylist()], schema=pa.schema([("host", pa.string()), ("template", pa.string())]))
+            yield pa.RecordBatch.from_pylist([{"host": r["host"], "lot": r["lot"], "shape": induced([(s["shape"], s["n"]) for s in r["shapes"]]), "n": sum(s["n"] for s in r["shapes"])} for r in b.to_pylist()], schema=pa.schema([("host", pa.string()), ("lot", pa.int64()), ("shape", pa.string()), ("n", pa.int64())]))
 
-    templates = written(grouped.mapInArrow(induce, "host string, template string"))
+    merging = skeletons(pages).withColumn("lot", F.crc32(F.col("shape").cast("binary")))
+    for lots in LOTS:
+        grouped = merging.groupBy("host", (F.col("lot") % lots).alias("lot")).agg(F.collect_list(F.struct("shape", "n")).alias("shapes"))
+        merging = grouped.mapInArrow(induce, "host string, lot long, shape string, n long")
+    templates = written(merging.select("host", F.col("shape").alias("template")))
 
     def count(batches):
         aligner, found = Aligner(), Counter()

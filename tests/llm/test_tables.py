@@ -61,6 +61,14 @@ def test_induced_template(spark):
     assert wrappers.extracted(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_every_skeleton_counts(spark):
+    """The template has nodes of all layouts, so what they share is found to be constant in rare ones too."""
+    layouts = [(f"<div class=l{k}><p>text {k} {j}</p></div>" * (2 if k < 90 else 1)) + ("<section class=z>Our imprint</section>" if k >= 90 else "") for k in range(100) for j in range(2 if k < 90 else 1)]
+    pages = spark.createDataFrame([(i, "http://many.example/", f"<html><body>{x}</body></html>") for i, x in enumerate(layouts)], PAGE).repartition(3)
+    got = {r.page_id: r.text for r in wrappers.extracted(pages).collect()}
+    assert len(got) == 190 and all(got[180 + k] == f"text {90 + k} 0" for k in range(10))
+
+
 def test_trees():
     a, b = (wrappers.thawed(json.loads(x)) for x in ('["r", [["a", []], ["b", [["c", []]]]]]', '["r", [["x", []], ["b", [["d", []]]]]]'))
     assert wrappers.matched(a, b, {})[0] == 2
