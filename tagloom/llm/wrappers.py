@@ -6,11 +6,13 @@
    two equally labelled nodes the children are aligned in order so that the most nodes match. All are merged,
    in lots by their hash, lots of lots and then by host, so that no task holds all of a hot host's.
 3. Each page is aligned with its host's template, and the texts of each template node are counted over all
-   pages. A text that most pages of a node share is constant, that is template.
-4. The main text is what is left: the blocks of varying slots. Within <article> or <main>, if a page has
-   one, only those count, and constants stay, for an article may be repeated. Slots of navigation, headers,
-   footers, sidebars, notices, adverts, forms and comments vary as well on many hosts; they are told by
-   their elements' names. Elsewhere a block that consists of links is navigation.
+   distinct pages: pages of one main part (see 4) count once, for an article may be repeated. A text that
+   most pages of a node share is constant, that is template.
+4. The main text is what is left: the blocks of varying slots. Constants go wherever they are, within
+   <article> and <main> too. Only what varies is told by names, for slots of navigation, headers, footers,
+   sidebars, notices, adverts, forms and comments vary as well on many hosts: the main part of a page is
+   what no such element holds, and within <article> or <main> if it has one. Elsewhere a block that
+   consists of links is navigation.
 
 Wrappers are small (a tree and some hashes) and joined by host; the join broadcasts them if they are small
 altogether. Defined results: a null or empty page has no text; a null url belongs to the host ""; unclosed
@@ -21,6 +23,7 @@ Columns other than page_id, url and html are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -36,6 +39,8 @@ from .common import written
 from .urls import host_of
 
 DEEPEST, SHARED, FEWEST, BROADCAST_BYTES = 80, 0.6, 5, 32 << 20
+#: Tells a node from its texts in counts.
+WHOLE = 1 << 32
 #: Into so many lots a host's skeletons are dealt, step by step; each number divides the one before.
 LOTS = (4096, 64, 1)
 
@@ -301,17 +306,21 @@ def wrappers(pages: DataFrame) -> DataFrame:
     templates = written(merging.select("host", F.col("shape").alias("template")))
 
     def count(batches):
-        aligner, found = Aligner(), Counter()
+        aligner = Aligner()
         for b in batches:
+            found = {}
             for row, root, blocks in pages_of(b):
-                places = aligner.places(row["template"], root)
-                seen = {(places.get(id(path[-1]), -1), zlib.crc32(text.encode())) for path, text, _ in blocks}
-                found.update((row["host"], node, crc) for node, crc in seen if node >= 0)
-                found.update((row["host"], node, -1) for node in {node for node, _ in seen} if node >= 0)
-        if found:
-            yield pa.RecordBatch.from_pylist([{"host": h, "node": n, "crc": c, "pages": k} for (h, n, c), k in found.items()])
-
-    counted = joined(pages, templates).mapInArrow(count, "host string, node long, crc long, pages long").groupBy("host", "node", "crc").agg(F.sum("pages").alias("pages"))
+                if part := main_part(blocks):
+                    places = aligner.places(row["template"], root)
+                    key = row["host"], int.from_bytes(hashlib.blake2b("\n".join(x[1] for x in part).encode(), digest_size=8).digest(), "little", signed=True)
+                    items = sorted(counted_of(part, places))
+                    found[key] = min(found.get(key, items), items)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([k for _, k in found], pa.int64()), pa.array(found.values(), pa.list_(pa.int64()))], ["host", "main", "items"])
+
+    distinct = joined(pages, templates).mapInArrow(count, "host string, main long, items array<long>").groupBy("host", "main").agg(F.min("items").alias("items"))
+    counted = distinct.select("host", F.explode("items").alias("item")).groupBy("host", "item").agg(F.count("*").alias("pages"))
+    counted = counted.select("host", F.shiftright("item", 33).alias("node"), F.when(F.col("item").bitwiseAND(WHOLE) > 0, -1).otherwise(F.col("item").bitwiseAND(WHOLE - 1)).alias("crc"), "pages")
     whole = counted.filter("crc = -1").select(F.col("host").alias("h"), F.col("node").alias("m"), F.col("pages").alias("all_pages"))
     texts = counted.filter((F.col("crc") >= 0) & (F.col("pages") >= FEWEST))
     constant = texts.join(whole, (F.col("host") == F.col("h")) & (F.col("node") == F.col("m"))).filter(F.col("pages") > F.col("all_pages") * SHARED)
@@ -325,13 +334,22 @@ def joined(pages: DataFrame, by_host: DataFrame) -> DataFrame:
     return pages.join(F.broadcast(by_host) if size <= BROADCAST_BYTES else by_host, "host")
 
 
-def main_text(blocks: list[tuple[list[Node], str, float]], places: dict[int, int], constants: set[str]) -> str:
+def main_part(blocks: list[tuple[list[Node], str, float]]) -> list[tuple[list[Node], str, float]]:
+    """The blocks that names do not tell to be something else, and of these the ones within <article> or <main> if there are any."""
     kept = [x for x in blocks if not any(n.aside for n in x[0])]
-    inside = [x for x in kept if any(n.main for n in x[0])]
-    if inside:
-        return "\n".join(text for _, text, _ in inside)
-    varying = [x for x in kept if f"{places.get(id(x[0][-1]), -1)}:{zlib.crc32(x[1].encode())}" not in constants]
-    return "\n".join(text for _, text, linked in varying if linked < 0.6)
+    return [x for x in kept if any(n.main for n in x[0])] or kept
+
+
+def counted_of(part: list[tuple[list[Node], str, float]], places: dict[int, int]) -> set[int]:
+    """A page's template nodes and their texts as numbers: the node, a bit for the node itself, and the text's hash."""
+    placed = [(places[id(x[0][-1])], x) for x in part if id(x[0][-1]) in places]
+    return {node << 33 | zlib.crc32(x[1].encode()) for node, x in placed} | {node << 33 | WHOLE for node, _ in placed}
+
+
+def main_text(blocks: list[tuple[list[Node], str, float]], places: dict[int, int], constants: set[str]) -> str:
+    part = main_part(blocks)
+    varying = [x for x in part if f"{places.get(id(x[0][-1]), -1)}:{zlib.crc32(x[1].encode())}" not in constants]
+    return "\n".join(x[1] for x in varying if x[2] < 0.6 or any(n.main for n in x[0]))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

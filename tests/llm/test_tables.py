@@ -61,6 +61,14 @@ def test_induced_template(spark):
     assert wrappers.extracted(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_constants_inside_articles(spark):
+    """What a host's pages share goes from articles too, but an article that is repeated stays."""
+    page = lambda i, k: f"<nav>n{i}</nav><article><h1>Title {k}</h1><p>Body {k}</p><div class=strip>Read more on our site</div></article><div class=ad>buy {i}</div>"
+    pages = spark.createDataFrame([(i, "http://a.example/", page(i, min(i, 12))) for i in range(50)], PAGE).repartition(3)
+    got = wrappers.extracted(pages).collect()
+    assert len(got) == 50 and all(r.text == f"Title {min(r.page_id, 12)}\nBody {min(r.page_id, 12)}" for r in got)
+
+
 def test_every_skeleton_counts(spark):
     """The template has nodes of all layouts, so what they share is found to be constant in rare ones too."""
     layouts = [(f"<div class=l{k}><p>text {k} {j}</p></div>" * (2 if k < 90 else 1)) + ("<section class=z>Our imprint</section>" if k >= 90 else "") for k in range(100) for j in range(2 if k < 90 else 1)]
