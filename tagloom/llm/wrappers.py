@@ -11,8 +11,8 @@
 4. The main text is what is left: the blocks of varying slots. Constants go wherever they are, within
    <article> and <main> too. Only what varies is told by names, for slots of navigation, headers, footers,
    sidebars, notices, adverts, forms and comments vary as well on many hosts: the main part of a page is
-   what no such element holds, and within <article> or <main> if it has one. Elsewhere a block that
-   consists of links is navigation.
+   what no such element holds, and within <article> or <main> if it has one. A block that consists of links
+   is navigation if its links' targets are constant, counted as texts are; other link lists are content.
 
 Wrappers are small (a tree and some hashes) and joined by host; the join broadcasts them if they are small
 altogether. Defined results: a null or empty page has no text; a null url belongs to the host ""; unclosed
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import written
 from .urls import host_of
 
-DEEPEST, SHARED, FEWEST, BROADCAST_BYTES = 80, 0.6, 5, 32 << 20
+DEEPEST, SHARED, LINKED, FEWEST, BROADCAST_BYTES = 80, 0.6, 0.6, 5, 32 << 20
 #: Tells a node from its texts in counts.
 WHOLE = 1 << 32
 #: Into so many lots a host's skeletons are dealt, step by step; each number divides the one before.
@@ -82,34 +82,36 @@ def described(tag: str, rest: str, inside_main: bool) -> tuple[str, bool, bool]:
     return label, aside and tag not in ("html", "body", "article", "main"), hidden
 
 
-def read(page: str) -> tuple[Node, list[tuple[list[Node], str, float]]]:
-    """A page's tree of block elements, and its blocks of text: their elements from the root down, text, and share of the text in links."""
+def read(page: str) -> tuple[Node, list[tuple[list[Node], str, float, list[str]]]]:
+    """A page's tree of block elements, and its blocks of text: their elements from the root down, text, share of the text in links, and targets of these."""
     root = Node("html")
     stack: list[tuple[str, Node | None]] = [("html", root)]
-    blocks: list[tuple[list[Node], str, float]] = []
-    held: list[tuple[str, bool]] = []
-    at, silent, links = 0, 0, 0
+    blocks: list[tuple[list[Node], str, float, list[str]]] = []
+    held: list[tuple[str, str | None]] = []
+    links: list[str] = []
+    at, silent = 0, 0
 
     def ended() -> None:
         if held:
             text = " ".join(html.unescape("".join(t for t, _ in held)).split())
             if text:
                 size = sum(len(t) for t, _ in held)
-                blocks.append(([n for _, n in stack if n], text, sum(len(t) for t, linked in held if linked) / max(1, size)))
+                blocks.append(([n for _, n in stack if n], text, sum(len(t) for t, to in held if to is not None) / max(1, size), list(dict.fromkeys(to for t, to in held if to is not None and t.strip()))))
             held.clear()
 
     def popped(upto: int) -> None:
-        nonlocal silent, links
+        nonlocal silent
         if any(n for _, n in stack[upto:]):
             ended()
         for tag, _ in stack[upto:]:
             silent -= tag[0] == "!"
-            links -= tag == "a"
+            if tag.lstrip("!") == "a":
+                links.pop()
         del stack[upto:]
 
     while m := TAG.search(page, at):
         if m.start() > at and not silent:
-            held.append((page[at : m.start()], links > 0))
+            held.append((page[at : m.start()], links[-1] if links else None))
         at = m.end()
         if m[2] is None:
             continue
@@ -123,7 +125,7 @@ def read(page: str) -> tuple[Node, list[tuple[list[Node], str, float]]]:
             continue
         if tag in VOID:
             if tag == "br" and not silent:
-                held.append((" ", False))
+                held.append((" ", None))
             elif tag == "hr":
                 ended()
             continue
@@ -151,9 +153,10 @@ def read(page: str) -> tuple[Node, list[tuple[list[Node], str, float]]]:
         if len(stack) < 4 * DEEPEST:
             stack.append(("!" + tag if hidden else tag, node))
             silent += hidden
-            links += tag == "a"
+            if tag == "a":
+                links.append(next((h[2] or h[3] or h[4] or "" for h in ATTRIBUTE.finditer(m[3]) if h[1].lower() == "href"), ""))
     if at < len(page) and not silent:
-        held.append((page[at:], links > 0))
+        held.append((page[at:], links[-1] if links else None))
     ended()
     return root, blocks
 
@@ -334,22 +337,30 @@ def joined(pages: DataFrame, by_host: DataFrame) -> DataFrame:
     return pages.join(F.broadcast(by_host) if size <= BROADCAST_BYTES else by_host, "host")
 
 
-def main_part(blocks: list[tuple[list[Node], str, float]]) -> list[tuple[list[Node], str, float]]:
+def main_part(blocks: list[tuple[list[Node], str, float, list[str]]]) -> list[tuple[list[Node], str, float, list[str]]]:
     """The blocks that names do not tell to be something else, and of these the ones within <article> or <main> if there are any."""
     kept = [x for x in blocks if not any(n.aside for n in x[0])]
     return [x for x in kept if any(n.main for n in x[0])] or kept
 
 
-def counted_of(part: list[tuple[list[Node], str, float]], places: dict[int, int]) -> set[int]:
-    """A page's template nodes and their texts as numbers: the node, a bit for the node itself, and the text's hash."""
+def targets(block: tuple[list[Node], str, float, list[str]]) -> list[int]:
+    """The hashes of the targets of a block that consists of links."""
+    return [zlib.crc32(b"\0" + t.encode()) for t in block[3]] if block[2] >= LINKED else []
+
+
+def counted_of(part: list[tuple[list[Node], str, float, list[str]]], places: dict[int, int]) -> set[int]:
+    """A page's template nodes, their texts and targets as numbers: the node, a bit for the node itself, and the text's or target's hash."""
     placed = [(places[id(x[0][-1])], x) for x in part if id(x[0][-1]) in places]
-    return {node << 33 | zlib.crc32(x[1].encode()) for node, x in placed} | {node << 33 | WHOLE for node, _ in placed}
+    return {node << 33 | crc for node, x in placed for crc in (WHOLE, zlib.crc32(x[1].encode()), *targets(x))}
 
 
-def main_text(blocks: list[tuple[list[Node], str, float]], places: dict[int, int], constants: set[str]) -> str:
-    part = main_part(blocks)
-    varying = [x for x in part if f"{places.get(id(x[0][-1]), -1)}:{zlib.crc32(x[1].encode())}" not in constants]
-    return "\n".join(x[1] for x in varying if x[2] < 0.6 or any(n.main for n in x[0]))
+def main_text(blocks: list[tuple[list[Node], str, float, list[str]]], places: dict[int, int], constants: set[str]) -> str:
+    out = []
+    for x in main_part(blocks):
+        node, links = places.get(id(x[0][-1]), -1), targets(x)
+        if f"{node}:{zlib.crc32(x[1].encode())}" not in constants and not (links and all(f"{node}:{t}" in constants for t in links)):
+            out.append(x[1])
+    return "\n".join(out)
 
 
 def extracted(pages: DataFrame) -> DataFrame:

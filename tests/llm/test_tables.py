@@ -69,6 +69,13 @@ def test_constants_inside_articles(spark):
     assert len(got) == 50 and all(r.text == f"Title {min(r.page_id, 12)}\nBody {min(r.page_id, 12)}" for r in got)
 
 
+def test_links_of_content(spark):
+    """Blocks of links go where their targets are the same on a host's pages, and stay where they vary."""
+    page = lambda i: f"<div><p><a href=/inbox>Messages ({i})</a></p></div><h1><a href=/{i}>Title {i}</a></h1><p>Body {i}</p><ul><li><a href='/ref{i}'>Source {i}</a></ul>"
+    pages = spark.createDataFrame([(i, "http://l.example/", page(i)) for i in range(12)], PAGE).repartition(3)
+    assert {r.page_id: r.text for r in wrappers.extracted(pages).collect()} == {i: f"Title {i}\nBody {i}\nSource {i}" for i in range(12)}
+
+
 def test_every_skeleton_counts(spark):
     """The template has nodes of all layouts, so what they share is found to be constant in rare ones too."""
     layouts = [(f"<div class=l{k}><p>text {k} {j}</p></div>" * (2 if k < 90 else 1)) + ("<section class=z>Our imprint</section>" if k >= 90 else "") for k in range(100) for j in range(2 if k < 90 else 1)]
