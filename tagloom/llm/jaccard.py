@@ -5,17 +5,20 @@ digest) form a class and are compared through one of them. The shingles of a set
 by document frequency, then by hash. Frequencies are counted over all classes, in ranges of the hash
 space; tasks get them as a bitmap of what several classes share and a bounded table of frequent ones. Two sets that are similar enough
 share at least l shingles among the first |x| - ceil(t |x|) + l of each, so classes are joined on those.
+Shingles that no other class has come first of all, so most sets without a near-duplicate have none to join on.
 A pair's shared prefix shingles are counted, and the length filter, the positional filter (shared so far
 plus what both have left) and the count itself drop most pairs; a suffix filter that compares the sets'
 counts in hash ranges drops more before sets are intersected, once a pair.
 
 Only components are wanted, so pairs inside one aren't needed. First each shingle's classes are compared
-with one of them only, in rounds with another one each, and components are updated; pairs between
-different components are then joined in full. Every link between different components is thus found.
+with a few of them only, in rounds with other ones each, and components are updated; shingles whose classes
+are all in one component go, and pairs between different components are then joined in full. Every link
+between different components is thus found.
 
 Defined results: a null text, or one without words, has an empty set, is its own component and links with
 nothing; fewer words than a shingle form one shingle; repeated rows of a doc_id are one class if their
-texts have the same set. A null doc_id is never the smallest of a component unless all of it is null.
+texts have the same set. A null doc_id is never the smallest of a component unless all of it is null. An
+empty table gives an empty result.
 Columns other than doc_id and text are ignored.
 """
 
@@ -26,7 +29,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import dropped, raw, words, written
@@ -35,13 +38,15 @@ from .urls import filled, key_hash
 
 WORDS, PERCENT = 5, 75
 #: Shingles told apart by frequency, at most; those of a lower count than the next only matter as "several".
-MOST_FREQUENT, COUNTED = 1 << 21, 4
+MOST_FREQUENT, COUNTED = 1 << 19, 4
 #: Bits that tell which shingles several classes may share: 16 MB.
 BITMAP = 27
 #: A task counts shingles in lots of so many, and a range of the hash space holds so many; words it remembers; the most that a filter of class ids is sized for.
 LOT, RANGE, REMEMBERED, MOST_FILTERED = 1 << 21, 1 << 21, 200_000, 1 << 25
 #: An l-prefix asks for one shared shingle more for each so many shingles.
-STRIDE, ROUNDS, FEW = 32, 6, 4
+STRIDE = 32
+#: Rounds, the classes of a shingle that are compared with all in a round, and how many rows for each of the index's the full join may make without one.
+ROUNDS, PIVOTS, FEW = 3, 4, 8
 
 
 class Shingler(dict):
@@ -84,28 +89,30 @@ def signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
 
-def packed(slots: np.ndarray) -> bytes:
-    """Ascending numbers, as compressed byte planes of their differences."""
-    return zlib.compress(np.ascontiguousarray(np.diff(slots, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+def packed(slots: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending numbers and how often each occurs, as compressed byte planes of the differences and of the counts."""
+    both = np.concatenate([np.diff(slots, prepend=np.uint64(0)), times.astype(np.uint64)])
+    return zlib.compress(np.ascontiguousarray(both.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
-def unpacked(blob: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view("<u8").ravel())
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    slots, times = np.split(np.ascontiguousarray(np.frombuffer(zlib.decompress(blob), np.uint8).reshape(8, -1).T).view("<u8").ravel(), 2)
+    return np.cumsum(slots), times.astype(np.int64)
 
 
 def summarised(docs: DataFrame, n: int, bits: int, ranges: int) -> DataFrame:
-    """A row (doc_id, n, c1, c2) for each document, and rows (range, slots): each lot's shingle hashes cut to so many bits, once a class."""
+    """A row (doc_id, n, c1, c2) for each document, and rows (range, slots): each lot's shingle hashes cut to so many bits, and how many of its classes have each."""
     names, shift = ["doc_id", "n", "c1", "c2", "range", "slots"], np.uint64(64 - bits)
 
     def run(batches):
         shingler, seen, lots, size = Shingler(n), set(), [], 0
 
         def counted():
-            slots = np.sort(np.concatenate(lots) >> shift)
+            slots, times = np.unique(np.concatenate(lots) >> shift, return_counts=True)
             ends = np.searchsorted(slots, np.arange(1, ranges, dtype=np.uint64) << np.uint64(bits - ranges.bit_length() + 1))
-            for k, part in enumerate(np.split(slots, ends)):
+            for k, (part, n_part) in enumerate(zip(np.split(slots, ends), np.split(times, ends), strict=True)):
                 if len(part):
-                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([k], pa.int64()), pa.array([packed(part)], pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, pa.int64()) for _ in range(4)), pa.array([k], pa.int64()), pa.array([packed(part, n_part)], pa.binary())], names)
 
         for b in batches:
             sizes, ones, twos = [], [], []
@@ -137,8 +144,9 @@ class Frequencies:
         segment = 1 << max(3, BITMAP - ranges.bit_length() + 1)
 
         def count(group: pa.Table) -> pa.Table:
-            slots = np.concatenate([unpacked(b) for b in group["slots"].to_pylist()])
-            slots, times = np.unique(slots, return_counts=True)
+            blobs = [unpacked(b) for b in group["slots"].to_pylist()]
+            slots, back = np.unique(np.concatenate([x for x, _ in blobs]), return_inverse=True)
+            times = np.bincount(back, np.concatenate([n for _, n in blobs]), len(slots)).astype(np.int64)
             some = slots[times > 1]
             marks = np.zeros(segment, np.uint8)
             marks[(some >> np.uint64(bits - BITMAP)).astype(np.int64) % segment] = 1
@@ -162,16 +170,16 @@ class Frequencies:
         dropped(made)
 
     def of(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For sorted shingle hashes: whether several classes may share each, and its level of frequency."""
+        """For sorted shingle hashes: whether several classes may share each, and its level of frequency, 0 only for those that none shares."""
         at = (found >> np.uint64(64 - BITMAP)).astype(np.int64)
         shared = self.marks[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 > 0
-        level = np.zeros(len(found), np.int8)
+        level = shared.astype(np.int8)
         some = np.flatnonzero(shared)
         if len(some) and len(self.slots):
             slots = found[some] >> np.uint64(64 - self.bits)
             at = np.searchsorted(self.slots, slots)
             at[at == len(self.slots)] = 0
-            level[some] = np.where(self.slots[at] == slots, self.levels[at], 0)
+            level[some] = np.where(self.slots[at] == slots, self.levels[at], 1)
         return shared, level
 
 
@@ -274,58 +282,51 @@ def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     classes = written(each.filter("n_shingles > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("id")).filter("id is not null"))
     frequencies = Frequencies(rows.filter("slots is not null").select("range", "slots"), bits, ranges)
 
-    # One shuffle by shingle: copies of a class from different tasks fall together, and shingles of one class go.
-    shuffled = prefixes(docs, n, percent, frequencies).repartition("h").groupBy("h", "c1", "c2", "n", "pos").agg(F.lit(0).alias("x")).drop("x")
-    shared = shuffled.withColumn("k", F.count("*").over(Window.partitionBy("h"))).filter("k > 1").drop("k")
-    index = shared.join(classes, ["c1", "c2"]).select("h", "id", "n", "pos")
-    index = written(index)
+    # Copies of a class from different tasks fall together, and shingles of one class go.
+    found = written(prefixes(docs, n, percent, frequencies).distinct())
+    shared = found.join(found.groupBy("h").count().filter("count > 1").select("h"), "h", "left_semi")
+    whole = written(shared.join(classes, ["c1", "c2"]).select("h", "id", "n", "pos"))
+    dropped(found)
     # What a class shares with all others together bounds what it shares with one, whose size is at least percent of its own.
     least = F.expr(f"(n * {percent} div 100) div {STRIDE} + 1")
     possible = (F.col("k") >= least) & (F.col("k") + F.col("n") - F.col("last") - 1 >= F.ceil(F.col("n") * percent / 100))
-    ids = written(index.groupBy("id").agg(F.count("*").alias("k"), F.max("pos").alias("last"), F.first("n").alias("n")).filter(possible).select("id"))
-    whole, index = index, written(index.join(ids, "id", "left_semi"))
-    dropped(whole)
+    ids = written(whole.groupBy("id").agg(F.count("*").alias("k"), F.max("pos").alias("last"), F.first("n").alias("n")).filter(possible).select("id"))
+    index = whole.join(ids, "id", "left_semi").select("h", "id", "n", "pos", F.col("id").alias("root"))
     sets = written(sets_of(docs, ids, n))
-    roots, tried = None, None
-
-    def placed() -> DataFrame:
-        """index with each class's component so far."""
-        if roots is None:
-            return index.withColumn("root", F.col("id"))
-        return index.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-
-    def work(at: DataFrame) -> tuple[int, int]:
-        """Rows that a full join of different components would make, and rows of the index."""
-        groups = at.groupBy("h", "root").count().groupBy("h").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("same"))
-        found = groups.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2), F.sum("m")).first()
-        return found[0] or 0, found[1] or 0
+    roots, tried, ordered = None, None, []
+    for p, q, r in (("n_x", "n_y", "n_a"), ("n_y", "n_x", "n_b"), ("p_x", "p_y", "p_a"), ("p_y", "p_x", "p_b")):
+        ordered.append(F.when(F.col("x") < F.col("y"), F.col(p)).otherwise(F.col(q)).alias(r))
 
     def joined(candidates: DataFrame) -> None:
         nonlocal roots, tried
         new = candidates.join(tried, ["a", "b"], "left_anti") if tried is not None else candidates
-        new = written(new)
-        edges = verified(new, sets, percent)
-        tried = new if tried is None else tried.unionByName(new)
+        tried = written(new)
+        edges = verified(tried, sets, percent)
         if roots is not None:
             edges = edges.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
         roots = components(edges)
 
-    ordered = lambda: (F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *(F.when(F.col("x") < F.col("y"), F.col(p)).otherwise(F.col(q)).alias(r) for p, q, r in (("n_x", "n_y", "n_a"), ("n_y", "n_x", "n_b"), ("p_x", "p_y", "p_a"), ("p_y", "p_x", "p_b"))))
-    for k in range(ROUNDS):
-        at = written(placed()) if roots is not None else placed()
-        pairs, size = work(at)
-        if not pairs or pairs <= FEW * size and k:
+    for k in range(ROUNDS + 1):
+        if roots is not None:
+            index = index.drop("root").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        # Shingles whose classes are all in one component have no more to tell.
+        index = written(index)
+        groups = written(index.groupBy("h", "root").count().groupBy("h").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("same")).filter("m * m > same"))
+        pairs, size = groups.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2), F.sum("m")).first()
+        if not pairs:
+            break
+        index = index.join(groups.select("h"), "h", "left_semi")
+        if k == ROUNDS or pairs <= FEW * size:
+            left = index.select("h", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"), F.col("root").alias("r_a"))
+            right = index.select("h", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("p_b"), F.col("root").alias("r_b"))
+            joined(passed(left.join(right, "h").filter("a < b and r_a <> r_b"), percent))
             break
-        pivot = at.groupBy("h").agg(F.min_by(F.struct("id", "n", "pos", "root"), F.xxhash64("id", F.lit(k))).alias("p"))
-        mates = at.join(pivot, "h").filter("p.root <> root").select(F.col("p.id").alias("x"), F.col("id").alias("y"), F.col("p.n").alias("n_x"), F.col("n").alias("n_y"), F.col("p.pos").alias("p_x"), F.col("pos").alias("p_y"))
-        joined(passed(mates.select(*ordered()), percent))
-    else:
-        at = written(placed())
-        pairs, _ = work(at)
-    if pairs:
-        left = at.select("h", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"), F.col("root").alias("r_a"))
-        right = at.select("h", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("p_b"), F.col("root").alias("r_b"))
-        joined(passed(left.join(right, "h").filter("a < b and r_a <> r_b"), percent))
+        pivots = [F.min_by(F.struct("id", "n", "pos", "root"), F.xxhash64("id", F.lit(k * PIVOTS + i))) for i in range(PIVOTS)]
+        pivots = index.groupBy("h").agg(F.array(*pivots).alias("p")).select("h", F.explode(F.array_distinct("p")).alias("p"))
+        mates = index.join(pivots, "h").filter("p.root <> root").select(F.col("p.id").alias("x"), F.col("id").alias("y"), F.col("p.n").alias("n_x"), F.col("n").alias("n_y"), F.col("p.pos").alias("p_x"), F.col("pos").alias("p_y"))
+        mates = mates.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *ordered)
+        # Both of a pair may be pivots of a shingle, and it then comes twice.
+        joined(passed(mates.distinct(), percent))
     named = classes if roots is None else classes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("id", F.coalesce("root", "id")).select("c1", "c2", "id")
     out = each.join(named, ["c1", "c2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out

@@ -14,7 +14,7 @@ from .common import raw, remainder
 
 PUNCTUATION = b".,;:!?\"'()[]{}<>*#%&$|-_/\\~`^+=@"
 #: Words whose bucket a task remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 
 class Buckets(dict):

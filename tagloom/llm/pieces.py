@@ -33,7 +33,7 @@ from .common import appended, raw
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words that a task remembers, the longest that is folded in numpy, and the text that is worked on at once.
-REMEMBERED, LONGEST, AT_ONCE = 600_000, 40, 2 << 20
+REMEMBERED, LONGEST, AT_ONCE = 200_000, 40, 2 << 20
 
 
 @dataclass
