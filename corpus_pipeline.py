@@ -7,7 +7,7 @@ doc_ids share one decision in the mixing stage, where null doc_ids are kept toge
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tagloom.llm import jaccard, mixing, pieces, quality, toxicity
@@ -15,24 +15,28 @@ from tagloom.llm.common import table, written
 
 
 def _kept(docs: DataFrame, scored: DataFrame, keep) -> DataFrame:
-    return scored.filter(keep).select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return scored.filter(keep).select(*(_column(c) for c in docs.columns))
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """The text beside the whole row, so that no name of a score can clash with a column."""
-    return docs.select(F.struct(*docs.columns).alias("row"), "text")
+    """The text beside the other columns as one, so that no name of a score can clash with a column and the text goes to Python once."""
+    return docs.select(F.struct(*(c for c in docs.columns if c != "text")).alias("row"), "text")
+
+
+def _column(name: str) -> Column:
+    return F.col(name) if name == "text" else F.col("row").getField(name).alias(name)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier rejects."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, quality.scored(_packed(docs), model, ["row"]), F.col("predicted") == 1)
+    return _kept(docs, quality.scored(_packed(docs), model, ["row", "text"]), F.col("predicted") == 1)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the toxicity classifier rejects."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return _kept(docs, toxicity.scored(_packed(docs), model, ["row"]), F.col("predicted") == 0)
+    return _kept(docs, toxicity.scored(_packed(docs), model, ["row", "text"]), F.col("predicted") == 0)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,14 +45,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows are linked and dropped by a key of their own, for doc_ids may be null or repeated. It is written
     with them, so that every plan sees the same one.
     """
-    keyed = written(_packed(docs).select("row", F.monotonically_increasing_id().alias("key")))
-    found = jaccard.near_components(keyed.select(F.col("key").alias("doc_id"), F.col("row").getField("text").alias("text")))
+    keyed = written(_packed(docs).select("row", "text", F.monotonically_increasing_id().alias("key")))
+    found = jaccard.near_components(keyed.select(F.col("key").alias("doc_id"), "text"))
     found = written(found.select(F.col("doc_id").alias("key"), F.col("component_id").alias("root")))
     ids = keyed.select("key", F.col("row").getField("doc_id").alias("id"))
     first = F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"]
     heads = found.join(ids, "key").groupBy("root").agg(first.alias("head"), F.count("*").alias("n")).filter("n > 1")
     gone = found.join(heads, "root").filter("key <> head").select("key")
-    return keyed.join(gone, "key", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return keyed.join(gone, "key", "left_anti").select(*(_column(c) for c in docs.columns))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,12 +49,19 @@ def appended(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = make()
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), *columns(batch)], names)
+        for whole in batches:
+            for batch in sliced(whole):
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in at), *columns(batch)], names)
 
     return df.mapInArrow(run, T.StructType([*kept, *fields]))
 
 
+def sliced(batch: pa.RecordBatch, most: int = 1000) -> Iterator[pa.RecordBatch]:
+    """A batch in slices, so that a worker holds few rows as Python objects at once."""
+    for i in range(0, batch.num_rows, most):
+        yield batch.slice(i, most)
+
+
 def raw(column: pa.Array) -> list[bytes]:
     """A string column as UTF-8; null as empty."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

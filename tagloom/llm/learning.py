@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, remainder
+from .common import raw, remainder, sliced
 
 PUNCTUATION = b".,;:!?\"'()[]{}<>*#%&$|-_/\\~`^+=@"
 #: Words whose bucket a task remembers.
@@ -49,11 +51,11 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataF
     return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
 
 
-def gathered(sample: DataFrame, rows_of: Callable[[bytes, int], dict], schema: str) -> dict[str, list]:
-    """What rows_of returns for each text and label of the sample, as columns on the driver, in an order that doesn't depend on partitions."""
+def gathered(sample: DataFrame, rows_of: Callable[[bytes, int], dict], schema: str) -> pa.Table:
+    """What rows_of returns for each text and label of the sample, as a table on the driver; place: a row's number in an order that doesn't depend on partitions."""
 
     def run(batches):
-        for b in batches:
+        for b in chain.from_iterable(sliced(b, 100) for b in batches):
             rows = [{"doc_id": i, "y": y, **rows_of(t, y)} for i, t, y in zip(b.column("doc_id").to_pylist(), raw(b.column("text")), b.column("y").to_pylist(), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
@@ -64,7 +66,9 @@ def gathered(sample: DataFrame, rows_of: Callable[[bytes, int], dict], schema: s
     full = _parse_datatype_string(f"doc_id long, y int, {schema}")
     arrow = to_arrow_schema(full)
     found = sample.select("doc_id", F.col("y").cast("int").alias("y"), "text").mapInArrow(run, full).toArrow()
-    return found.sort_by([("doc_id", "ascending")])
+    place = np.empty(len(found), np.int64)
+    place[pc.sort_indices(found, sort_keys=[("doc_id", "ascending")]).to_numpy()] = np.arange(len(found))
+    return found.append_column("place", pa.array(place))
 
 
 class Rows:

@@ -81,7 +81,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         tokens = text.lower().split()
         return {"words": buckets.of(tokens), "stats": structure(text, text.split())}
 
-    found = gathered(labelled(docs, labels, label, sample), rows_of, "words array<int>, stats array<double>")
+    found = gathered(labelled(docs, labels, label, sample), rows_of, "words array<int>, stats array<double>").sort_by("place")
     y = found["y"].to_numpy().astype(float)
     n_stats = len(structure(b"", []))
     stats = found["stats"].combine_chunks().flatten().to_numpy().reshape(-1, n_stats)

@@ -87,17 +87,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(float(np.log((share + 1e-9) / (1 - share + 1e-9))), np.zeros(N_BUCKETS))
-    flat = found["words"].combine_chunks()
-    size = flat.value_lengths().to_numpy()
-    col = flat.flatten().to_numpy().astype(np.int64)
-    of = np.repeat(np.arange(len(y)), size)
-    n, n_1 = np.bincount(col, minlength=N_BUCKETS), np.bincount(col, y[of], N_BUCKETS)
+    parts = []
+    n, n_1 = np.zeros(N_BUCKETS), np.zeros(N_BUCKETS)
+    for b in found.select(["words", "y", "place"]).to_batches(max_chunksize=500):
+        size, col = b.column("words").value_lengths().to_numpy(zero_copy_only=False), b.column("words").flatten().to_numpy()
+        n += np.bincount(col, minlength=N_BUCKETS)
+        n_1 += np.bincount(col, np.repeat(b.column("y").to_numpy(), size), N_BUCKETS)
+        parts.append((np.repeat(b.column("place").to_numpy(), size).astype(np.int32), col))
     share = y.mean()
     telling = (n >= 2) & (np.abs(n_1 - n * share) > TELLING * np.sqrt(np.maximum(n, 1) * share * (1 - share) * np.maximum(1 - n / len(y), 1e-3)))
+    of, col = (np.concatenate([p[k][telling[p[1]]] for p in parts]).astype(np.int64) for k in (0, 1))
+    order = np.lexsort((col, of))
     x = Rows([])
-    x.n, x.of, x.col = len(y), of[telling[col]], col[telling[col]]
+    x.n, x.of, x.col = len(y), of[order], col[order]
     x.val = np.ones(len(x.col))
-    del flat, col, of
+    found = found.select(["y", "pairs", "place"]).sort_by("place")
+    y = found["y"].to_numpy().astype(float)
+    del parts, of, col, order
     pairs = [(a, b) for p in found["pairs"].to_pylist() for a, b in p]
     pairs += [(buckets.of([g[0].encode()]), buckets.of([t.encode()])) for g in GROUPS for t in g[1:]]
     swapped = Rows([np.array([*a, *b], np.int64) for a, b in pairs], [np.array([-1.0] * len(a) + [1.0] * len(b)) for a, b in pairs])
