@@ -11,10 +11,9 @@ plus what both have left) and the count itself drop most pairs; a suffix filter
 counts in hash ranges drops more before sets are intersected, once a pair.
 
 Only components are wanted, so pairs inside one aren't needed. First only the few least shingles of each
-class's prefix are joined, and the classes of one compared with one of them: that finds nearly all links in
-groups of copies. Shingles whose classes are all in one component then go; if the others' classes still make
-many pairs, they are compared with a few of them in some rounds, and pairs between different components are
-at last joined in full. Every link between different components is thus found.
+class's prefix are joined, and the classes of one compared with a few of them: that finds nearly all links in
+groups of copies. Shingles whose classes are all in one component then go, and pairs between different
+components are joined in full. Every link between different components is thus found.
 
 Defined results: a null text, or one without words, has an empty set, is its own component and links with
 nothing; fewer words than a shingle form one shingle; repeated rows of a doc_id are one class if their
@@ -47,8 +46,8 @@ BITMAP = 27
 LOT, RANGE, REMEMBERED, MOST_FILTERED = 1 << 21, 1 << 21, 200_000, 1 << 25
 #: An l-prefix asks for one shared shingle more for each so many shingles.
 STRIDE = 32
-#: Shingles of a class in the first round, further rounds, the classes of a shingle that are compared with all in one, and how many rows for each of the index's the full join may make without one.
-SKETCH, ROUNDS, PIVOTS, FEW = 8, 2, 4, 4
+#: Shingles of a class in the first round, and the classes of one that are compared with all of them.
+SKETCH, PIVOTS = 8, 3
 
 
 class Shingler(dict):
@@ -297,44 +296,21 @@ def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     packed_ = written(whole.join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.collect_list(F.struct("h", "pos")).alias("items")))
     dropped(whole)
     sets = written(sets_of(docs, ids, n))
-    roots, tried, ordered = None, None, []
-    for p, q, r in (("n_x", "n_y", "n_a"), ("n_y", "n_x", "n_b"), ("p_x", "p_y", "p_a"), ("p_y", "p_x", "p_b")):
-        ordered.append(F.when(F.col("x") < F.col("y"), F.col(p)).otherwise(F.col(q)).alias(r))
-
-    def joined(candidates: DataFrame) -> None:
-        nonlocal roots, tried
-        new = candidates.join(tried, ["a", "b"], "left_anti") if tried is not None else candidates
-        new = written(new)
-        edges = verified(new, sets, percent)
-        tried = new if tried is None else tried.unionByName(new)
-        if roots is not None:
-            edges = edges.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
-        roots = components(edges)
-
     sketch = packed_.select("id", "n", F.explode(F.slice(F.sort_array("items"), 1, SKETCH)["h"]).alias("h"))
-    one = sketch.groupBy("h").agg(F.min_by(F.struct("id", "n"), F.xxhash64("id")).alias("p"))
-    mates = sketch.join(one, "h").filter((F.col("p.id") != F.col("id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent))
-    joined(mates.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct())
-    total = packed_.agg(F.sum(F.size("items"))).first()[0] or 0
-    for k in range(ROUNDS + 1):
-        rooted = packed_.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        index = written(rooted.select("id", "n", "root", F.explode("items").alias("i")).select("id", "n", "root", "i.h", "i.pos"))
-        # Shingles whose classes are all in one component have no more to tell.
-        groups = written(index.groupBy("h", "root").count().groupBy("h").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.col("count")).alias("same")).filter("m * m > same"))
-        pairs = groups.agg(F.sum((F.col("m") * F.col("m") - F.col("same")) / 2)).first()[0]
-        if not pairs:
-            break
-        index = index.join(groups.select("h"), "h", "left_semi")
-        if k == ROUNDS or pairs <= FEW * total:
-            left = index.select("h", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"), F.col("root").alias("r_a"))
-            right = index.select("h", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("p_b"), F.col("root").alias("r_b"))
-            joined(passed(left.join(right, "h").filter("a < b and r_a <> r_b"), percent))
-            break
-        pivots = [F.min_by(F.struct("id", "n", "pos", "root"), F.xxhash64("id", F.lit(k * PIVOTS + i))) for i in range(PIVOTS)]
-        pivots = index.groupBy("h").agg(F.array(*pivots).alias("p")).select("h", F.explode(F.array_distinct("p")).alias("p"))
-        mates = index.join(pivots, "h").filter("p.root <> root").select("h", F.col("p.id").alias("x"), F.col("id").alias("y"), F.col("p.n").alias("n_x"), F.col("n").alias("n_y"), F.col("p.pos").alias("p_x"), F.col("pos").alias("p_y"))
-        # Both of a pair may be pivots of a shingle, and it then comes twice.
-        joined(passed(mates.select("h", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), *ordered).distinct(), percent))
-    named = classes if roots is None else classes.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("id", F.coalesce("root", "id")).select("c1", "c2", "id")
+    pivots = F.array_distinct(F.array(*(F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(i))) for i in range(PIVOTS))))
+    few = sketch.groupBy("h").agg(pivots.alias("p")).select("h", F.explode("p").alias("p"))
+    mates = sketch.join(few, "h").filter((F.col("p.id") != F.col("id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent))
+    first = written(mates.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct())
+    roots = components(verified(first, sets, percent))
+    index = packed_.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"), F.explode("items").alias("i")).select("id", "n", "root", "i.h", "i.pos")
+    index = written(index)
+    # Shingles whose classes are all in one component have no more to tell.
+    several = index.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("greatest")).filter("least < greatest").select("h")
+    index = index.join(several, "h", "left_semi")
+    left = index.select("h", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"), F.col("root").alias("r_a"))
+    right = index.select("h", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("p_b"), F.col("root").alias("r_b"))
+    second = written(passed(left.join(right, "h").filter("a < b and r_a <> r_b"), percent).join(first, ["a", "b"], "left_anti"))
+    edges = verified(second, sets, percent).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    named = classes.join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("id", F.coalesce("root", "id")).select("c1", "c2", "id")
     out = each.join(named, ["c1", "c2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out

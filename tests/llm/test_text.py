@@ -136,10 +136,10 @@ def variants(rng, n):
     return rows
 
 
-@pytest.mark.parametrize("few, rounds", [(4, 6), (0, 6), (10**9, 0)])
-def test_components_equal_brute_force(spark, monkeypatch, few, rounds):
-    monkeypatch.setattr(jaccard, "FEW", few)
-    monkeypatch.setattr(jaccard, "ROUNDS", max(1, rounds))
+@pytest.mark.parametrize("sketch, pivots", [(8, 3), (1, 1)])
+def test_components_equal_brute_force(spark, monkeypatch, sketch, pivots):
+    monkeypatch.setattr(jaccard, "SKETCH", sketch)
+    monkeypatch.setattr(jaccard, "PIVOTS", pivots)
     rows = variants(np.random.default_rng(7), 40) + [(1000, None), (1001, ""), (1002, "One two"), (1003, "one  TWO"), (1004, "one two three"), (1005, " \n"), (1006, "a " * 3000), (1007, "a " * 3000)]
     rows.append(rows[0])
     docs = spark.createDataFrame([(*r, 1) for r in rows], TEXT + ", n_shingles int").repartition(5)
