@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A whole CIGAR string, operations that consume the reference, and those that consume the read.
-VALID, ON_REFERENCE, ON_READ = r"^([0-9]+[MIDNSHP=X])+$", "MDN=X", "MIS=X"
+VALID, ON_REFERENCE, ON_READ = r"^([0-9]+[MIDNSHP=XB])+$", "MDN=X", "MIS=X"
 
 
 def total(cigar: Column, operations: str) -> Column:

@@ -48,7 +48,8 @@ class Alignments:
         return index.available(self.spark, self.index_path) if self.index_path else []
 
     def build_index(self, *names: str) -> list[str]:
-        return index.build(self.records, self.index_path, list(names))
+        """Indexes tags of all types, numbers under their text; records that lack a tag are under "*"."""
+        return index.build(self.records, self.index_path, list(names), any_type=True)
 
     def by_bx(self, values=None, regions=None, **how) -> DataFrame:
         return self._values("BX", values, regions, True, **how)
@@ -78,7 +79,8 @@ class Alignments:
         if output not in ("ranges", "table"):
             raise ValueError(f"output is ranges or table, not {output!r}")
         column = "tag" if not strict else tag if tag != index.QNAME else "_name"
-        named = self.records.withColumn(column, F.col("qname") if tag == index.QNAME else tags.as_text(F.col("aux"), tag))
+        named_as = F.col("qname") if tag == index.QNAME else tags.as_text(F.col("aux"), tag)
+        named = self.records.withColumn(column, named_as)
         if values is None and wanted is None:
             return self._shaped(named.filter(F.lit(False)), output)
         if wanted is not None:
@@ -89,9 +91,13 @@ class Alignments:
                 raise TypeError("values are texts")
             keys = [None if v is None else str(v) for v in values]
         if isinstance(keys, list) and self.require_index:
-            # Few records: their places come from the index, and the source seeks to them.
+            # The index gives the records' places, which are joined with them.
             found = index.opened(self.spark, self.index_path, tag).filter(F.col("key").isin([k for k in keys if k is not None])).select("voffset").distinct()
-            named = named.join(found, "voffset", "left_semi")
+            named = named.join(found.withColumnRenamed("voffset", "_place"), F.col("voffset").eqNullSafe(F.col("_place")), "left_semi")
+        if isinstance(keys, list):
+            # Records without the tag are found under the key that the index has for them.
+            named = named.withColumn("_key_of", index.key(tag, any_type=True))
+            return self._shaped(by_keys(named, "_key_of", keys, distinct_keys).drop("_key_of"), output)
         return self._shaped(by_keys(named, column, keys, distinct_keys), output)
 
     def _region_keys(self, named: DataFrame, tag: str, column: str, wanted, verbose: bool) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import cigar, flags
 
+#: Positions of a bin of the depth.
+BIN = 1 << 14
+
 
 def reference_counts(records: DataFrame) -> DataFrame:
     """rname, mapped, unmapped; records without a reference are under "*"."""
@@ -21,7 +24,7 @@ def region_summary(records: DataFrame, column: str) -> DataFrame:
 
 def covered(cigar_column: Column, pos: Column) -> Column:
     """The positions that a record's M, = and X operations cover, as an array of [start, length] arrays."""
-    ops = F.arrays_zip(F.regexp_extract_all(cigar_column, F.lit("([0-9]+)[MIDNSHP=X]"), F.lit(1)).alias("n"), F.regexp_extract_all(cigar_column, F.lit("[0-9]+([MIDNSHP=X])"), F.lit(1)).alias("op"))
+    ops = F.arrays_zip(F.regexp_extract_all(cigar_column, F.lit("([0-9]+)[MIDNSHP=XB]"), F.lit(1)).alias("n"), F.regexp_extract_all(cigar_column, F.lit("[0-9]+([MIDNSHP=XB])"), F.lit(1)).alias("op"))
 
     def step(state, op):
         n = op["n"].cast("bigint")
@@ -39,13 +42,15 @@ def depth(records: DataFrame, most: int | None = None) -> DataFrame:
     Each covered run is a +1 and a -1 at its ends; only those are shuffled, and positions are laid out
     after the counts are known, so a deep position is no more work than a shallow one.
     """
-    from pyspark.sql import Window
-
     runs = records.filter(~flags.has(F.col("flag"), flags.UNMAPPED)).select("rname", F.explode(covered(F.col("cigar"), F.col("pos"))).alias("r"))
     ends = runs.select("rname", F.explode(F.array(F.struct(F.col("r")[0].alias("pos"), F.lit(1).alias("d")), F.struct((F.col("r")[0] + F.col("r")[1]).alias("pos"), F.lit(-1).alias("d")))).alias("e"))
     steps = ends.groupBy("rname", F.col("e.pos").alias("pos")).agg(F.sum("e.d").alias("d")).filter("d <> 0")
-    order = Window.partitionBy("rname").orderBy("pos")
-    levels = steps.withColumn("depth", F.sum("d").over(order)).withColumn("stop", F.lead("pos").over(order)).filter("depth > 0")
+    # Running sums within bins; what stands before a bin is one row a bin, so no task holds a whole reference.
+    steps = steps.withColumn("bin", F.floor(F.col("pos") / BIN))
+    by_name, order = Window.partitionBy("rname").orderBy("bin"), Window.partitionBy("rname", "bin").orderBy("pos")
+    bins = steps.groupBy("rname", "bin").agg(F.sum("d").alias("total"), F.min("pos").alias("first"))
+    bins = bins.select("rname", "bin", (F.sum("total").over(by_name) - F.col("total")).alias("before"), F.lead("first").over(by_name).alias("next"))
+    levels = steps.join(bins, ["rname", "bin"]).withColumns({"depth": F.col("before") + F.sum("d").over(order), "stop": F.coalesce(F.lead("pos").over(order), "next")}).filter("depth > 0")
     out = levels.select("rname", F.explode(F.sequence("pos", F.col("stop") - 1)).alias("pos"), "depth")
     return out if most is None else out.withColumn("depth", F.least("depth", F.lit(most)))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar, flags, ranges, regions, tags, variants
 from ..operators import index, overlap, summary
-from ..operators.lookup import by_keys, region_keys
+from ..operators.lookup import Alignments, by_keys, region_keys
+from ..sources import bam
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -153,8 +157,7 @@ def q23_pileup_depth(spark, sf_dir):
 
 
 def q24_interval_overlap(spark, sf_dir):
-    rows = reads(spark, sf_dir).filter("event_id % 10 = 3")
-    left = rows.select(F.col("rname").alias("seqnames"), F.col("pos").alias("start"), (F.col("pos") + 5).alias("end"), F.col("event_id").alias("id"))
+    left = reads(spark, sf_dir).select(F.col("rname").alias("seqnames"), F.col("pos").alias("start"), (F.col("pos") + 5).alias("end"), F.col("event_id").alias("id"))
     right = spark.createDataFrame([("click", 1, 3, 1), ("click", 40, 60, 2), ("view", 90, 90, 3), ("purchase", 5, 20, 4)], "seqnames string, start bigint, end bigint, id bigint")
     return overlap.intervals(left, right).select("id", F.col("other_id").alias("region_id"))
 
@@ -175,14 +178,23 @@ def q27_region_parse(spark, sf_dir):
 
 
 def q28_variant_type(spark, sf_dir):
-    alleles = spark.createDataFrame(ALLELES, "id bigint, ref string, alt string")
-    return alleles.select("id", variants.kind(F.col("ref"), F.col("alt")).alias("kind"))
+    """Alleles of one to four bases cut from two texts by the read's number, and the special ones."""
+    special = F.element_at(F.array(*map(F.lit, SPECIAL)), (F.col("event_id") % 10 + 1).cast("int"))
+    rows = reads(spark, sf_dir).select("event_id", F.expr("substring('ACGTTGCAACGGT', cast(1 + event_id % 7 as int), cast(1 + event_id % 4 as int))").alias("ref"), F.expr("substring('ACTTaGCATCGG', cast(1 + event_id div 4 % 6 as int), cast(1 + event_id div 16 % 4 as int))").alias("alt"))
+    return rows.select("event_id", variants.kind(F.col("ref"), F.when(F.col("event_id") % 11 == 0, special).otherwise(F.col("alt"))).alias("kind"))
+
+
+def q31_binned_semi(spark, sf_dir):
+    """Each read once that overlaps one of many regions, by bins."""
+    rows = placed(spark, sf_dir).withColumn("voffset", F.lit(None).cast("bigint"))
+    wanted = rows.select(F.col("rname").alias("seqnames"), (F.col("pos") + 30).alias("start"), (F.col("pos") + 31).alias("end"))
+    return overlap.joined(rows, wanted, "left_semi", few=0, width=16).select("event_id")
 
 
 def q29_binned_overlap(spark, sf_dir):
     rows = placed(spark, sf_dir)
-    wanted = rows.filter("event_id % 50 = 1").select(F.col("rname").alias("seqnames"), (F.col("pos") + 1).alias("start"), (F.col("pos") + 4).alias("end"))
-    return overlap.joined(rows, wanted, few=0, width=16).groupBy("event_id").agg(F.count("*").alias("n_regions"))
+    wanted = rows.select(F.col("rname").alias("seqnames"), (F.col("pos") + 1).alias("start"), (F.col("pos") + 4).alias("end"))
+    return overlap.counted(rows, wanted).select("event_id", "n_regions")
 
 
 def q30_tag_update(spark, sf_dir):
@@ -190,7 +202,26 @@ def q30_tag_update(spark, sf_dir):
     return tagged(spark, sf_dir).select("event_id", F.array_join(F.array_sort(F.map_keys(changed)), ",").alias("tags"), tags.get(changed, "NM", "i").alias("nm"))
 
 
-ALLELES = [(1, "A", "G"), (2, "AC", "GT"), (3, "A", "AT"), (4, "AT", "A"), (5, "A", "."), (6, "A", "A[chr2:5["), (7, "A", "<DEL>"), (8, "A", "<*>"), (9, "ac", "AC"), (10, "A", "*")]
+def q32_bam_lookup(spark, sf_dir):
+    """The reads written as BAM files in the shared folder, indexed, and looked up by tag values and by the lack of one."""
+    path = f"{shared(spark)}/reads-{uuid.uuid4().hex}"
+    rows = tagged(spark, sf_dir).select("qname", "flag", "rname", F.col("pos").cast("int").alias("pos"), F.lit(60).alias("mapq"), "cigar", F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), F.lit("*").alias("seq"), F.lit("*").alias("qual"), F.lit(None).cast("bigint").alias("voffset"), "aux")
+    bam.write(rows, path)
+    found = Alignments(spark, index_path=f"{path}-index", records=bam.read(spark, path))
+    found.build_index("BX", "XK")
+    by_value = found.by_bx(["BX8-1", "BX12-1", "*"], output="table").withColumn("by", F.lit("BX"))
+    by_number = found.by_tag("XK", 7, output="table").withColumn("by", F.lit("XK"))
+    return by_value.unionByName(by_number, allowMissingColumns=True).select("by", "qname", "flag", "rname", "pos", "cigar", tags.as_text(F.col("aux"), "BX").alias("bx"), tags.as_text(F.col("aux"), "XK").alias("xk"))
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one where none is set, as in tests."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    os.makedirs(top.removeprefix("file://"), exist_ok=True)
+    return top.rstrip("/").removeprefix("file://")
+
+
+SPECIAL = (".", "*", "X", "<*>", "<X>", "<NON_REF>", "<DEL>", "A[chr2:5[", "]c:1]A", "a")
 
 QUERIES: dict[str, Query] = {k: f for k, f in sorted(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
@@ -223,13 +254,23 @@ FROM (SELECT *, CASE WHEN (flag & 4) <> 0 THEN 1 ELSE pos END AS a, CASE WHEN (f
     "q22_flag_text": "SELECT event_id, concat_ws(',', " + ", ".join(f"CASE WHEN (flag & {1 << i}) <> 0 THEN '{w}' END" for i, w in enumerate(flags.WORDS)) + ") AS flag_text, flag FROM reads",
     "q23_pileup_depth": """WITH c AS (SELECT rname, pos, CAST(regexp_extract(cigar, '^([0-9]+)M', 1) AS BIGINT) AS m FROM reads WHERE (flag & 4) = 0)
 SELECT rname, p AS pos, count(*) AS depth FROM (SELECT rname, unnest(generate_series(pos, pos + m - 1)) AS p FROM c) GROUP BY rname, p""",
-    "q24_interval_overlap": "SELECT event_id AS id, CAST(k.id AS BIGINT) AS region_id FROM reads JOIN (VALUES ('click', 1, 3, 1), ('click', 40, 60, 2), ('view', 90, 90, 3), ('purchase', 5, 20, 4)) k(n, a, b, id) ON rname = n AND pos <= b AND pos + 5 >= a WHERE event_id % 10 = 3",
+    "q24_interval_overlap": "SELECT event_id AS id, CAST(k.id AS BIGINT) AS region_id FROM reads JOIN (VALUES ('click', 1, 3, 1), ('click', 40, 60, 2), ('view', 90, 90, 3), ('purchase', 5, 20, 4)) k(n, a, b, id) ON rname = n AND pos <= b AND pos + 5 >= a",
     "q25_multi_region_dedup": f"SELECT event_id FROM reads WHERE EXISTS (SELECT 1 FROM (VALUES ('click', 100, 110), ('click', 105, 130), ('view', 10, 30)) k(n, a, b) WHERE rname = n AND pos <= b AND pos + {LENGTH} > a)",
     "q26_cigar_star_null": "SELECT event_id, nullif(CASE WHEN event_id % 5 = 0 THEN '*' ELSE cigar END, '*') AS cigar FROM reads",
     "q27_region_parse": f"""SELECT event_id, 'chr' || CAST(event_id % 5 AS VARCHAR) AS seqnames, CASE WHEN event_id % 4 = 0 THEN CAST(1 AS BIGINT) ELSE 1000 + event_id % 1000 END AS start,
   CASE WHEN event_id % 4 = 3 THEN CAST(2500000 AS BIGINT) ELSE {regions.END} END AS "end" FROM reads""",
-    "q28_variant_type": "SELECT CAST(id AS BIGINT) AS id, kind FROM (VALUES (1, 'SNP'), (2, 'MNP'), (3, 'INDEL'), (4, 'INDEL'), (5, 'REF'), (6, 'BND'), (7, 'OTHER'), (8, 'REF'), (9, 'REF'), (10, 'REF')) v(id, kind)",
-    "q29_binned_overlap": f"SELECT r.event_id, count(*) AS n_regions FROM reads r JOIN reads k ON k.event_id % 50 = 1 AND r.rname = k.rname AND r.pos <= k.pos + 3 AND r.pos + {LENGTH} > k.pos GROUP BY r.event_id",
+    "q28_variant_type": f"""WITH v AS (SELECT event_id, substr('ACGTTGCAACGGT', 1 + event_id % 7, 1 + event_id % 4) AS r, substr('ACTTaGCATCGG', 1 + event_id // 4 % 6, 1 + event_id // 16 % 4) AS plain FROM reads),
+w AS (SELECT event_id, r, CASE WHEN event_id % 11 = 0 THEN [{", ".join(f"'{x}'" for x in SPECIAL)}][1 + event_id % 10] ELSE plain END AS alt, upper(alt) AS a FROM v),
+x AS (SELECT *, list_min([i FOR i IN range(1, 2 + least(length(r), length(a))) IF r[i:i] <> a[i:i]]) AS f FROM w),
+y AS (SELECT *, substr(r, f) AS r1, substr(a, f) AS a1 FROM x),
+z AS (SELECT *, coalesce(list_min([i FOR i IN range(1, 1 + least(length(r1), length(a1))) IF r1[-i:-i] <> a1[-i:-i] OR i = least(length(r1), length(a1))]), 1) - 1 AS s FROM y),
+t AS (SELECT *, length(r1) - s AS n, length(a1) - s AS m FROM z)
+SELECT event_id, CASE WHEN r = a OR alt IN ('<*>', '<X>', '<NON_REF>') OR length(r) = 1 AND alt IN ('.', '*', 'X') THEN 'REF' WHEN alt LIKE '<%' THEN 'OTHER' WHEN alt LIKE '%[%' OR alt LIKE '%]%' THEN 'BND'
+  WHEN r1 = '' OR a1 = '' THEN 'INDEL' WHEN n = 1 AND m = 1 THEN 'SNP' WHEN n = 1 OR m = 1 THEN CASE WHEN r1[n:n] = a1[m:m] THEN 'INDEL' ELSE 'OTHER' END WHEN n = m THEN 'MNP' ELSE 'OTHER' END AS kind FROM t""",
+    "q29_binned_overlap": f"SELECT r.event_id, count(*) AS n_regions FROM reads r JOIN reads k ON r.rname = k.rname AND r.pos <= k.pos + 3 AND r.pos + {LENGTH} > k.pos GROUP BY r.event_id",
+    "q31_binned_semi": f"SELECT event_id FROM reads r WHERE EXISTS (SELECT 1 FROM reads k WHERE r.rname = k.rname AND r.pos <= k.pos + 30 AND r.pos + {LENGTH} > k.pos + 29)",
+    "q32_bam_lookup": """WITH t AS (SELECT qname, flag, rname, pos, cigar, CASE WHEN event_id % 7 <> 0 THEN BX END AS bx, CAST(XK AS VARCHAR) AS xk FROM reads)
+SELECT 'BX' AS by, * REPLACE (CAST(pos AS INTEGER) AS pos) FROM t WHERE coalesce(bx, '*') IN ('BX8-1', 'BX12-1', '*') UNION ALL SELECT 'XK', * REPLACE (CAST(pos AS INTEGER) AS pos) FROM t WHERE xk = '7'""",
     "q30_tag_update": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'NM' ELSE 'BX,NM' END AS tags, event_id % 3 AS nm FROM reads",
 }
 SQL: dict[str, str] = {k: f"WITH reads AS ({READS})\n{v}" if not v.startswith("WITH ") else f"WITH reads AS ({READS}),\n{v[5:]}" for k, v in _SQL.items()}

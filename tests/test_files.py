@@ -178,6 +178,39 @@ def test_binned_join_is_the_plain_one(spark):
         assert plain.exceptAll(binned.select(*plain.columns)).isEmpty() and plain.count() == binned.count() > 0
 
 
+def test_repeated_and_null_offsets_lose_no_row(spark):
+    rows = spark.range(40).select(F.lit("c").alias("rname"), F.lit(5).alias("pos"), F.lit("9M").alias("cigar"), F.lit(0).alias("flag"), F.when(F.col("id") < 20, F.col("id") % 3).alias("voffset"))
+    wanted = spark.createDataFrame([("c", 1, 9), ("c", 3, 30)], "seqnames string, start long, end long")
+    for few in (0, 10):
+        assert overlap.joined(rows, wanted, "left_semi", few=few, width=4).count() == 40
+
+
+def test_counted_regions_are_those_of_the_join(spark):
+    rows = spark.range(300).select("id", F.concat(F.lit("c"), (F.col("id") % 3).cast("string")).alias("rname"), (F.col("id") * 37 % 1000).cast("int").alias("pos"), F.concat((1 + F.col("id") % 90).cast("string"), F.lit("M")).alias("cigar"), F.lit(0).alias("flag"))
+    wanted = spark.range(60).select(F.concat(F.lit("c"), (F.col("id") % 4).cast("string")).alias("seqnames"), (1 + F.col("id") * 53 % 1000).alias("start"), (1 + F.col("id") * 53 % 1000 + F.col("id") % 70).alias("end"))
+    plain = {r.id: r["count"] for r in overlap.joined(rows, wanted).groupBy("id").count().collect()}
+    for width in (16, 1024):
+        assert {r.id: r.n_regions for r in overlap.counted(rows, wanted, width).collect()} == plain
+
+
+def test_binned_intervals(spark, monkeypatch):
+    left = spark.range(50).select(F.lit("c").alias("seqnames"), (F.col("id") * 37 % 100).alias("start"), (F.col("id") * 37 % 100 + F.col("id") % 20).alias("end"), "id")
+    plain = overlap.intervals(left, left)
+    monkeypatch.setattr(overlap, "FEW", 3)
+    monkeypatch.setattr(overlap, "BIN", 8)
+    binned = overlap.intervals(left, left)
+    assert binned.count() == plain.count() > 50 and plain.exceptAll(binned.select(*plain.columns)).isEmpty()
+
+
+def test_numbers_and_missing_tags_are_found(spark, made, tmp_path):
+    path, _ = made
+    reads = Alignments(spark, path, str(tmp_path / "index"))
+    reads.build_index("NM", "BX", "X6")
+    assert [r.qname for r in reads.by_tag("NM", 3, output="table").collect()] == ["r1"]
+    assert [r.qname for r in reads.by_tag("X6", 2**32 - 1, output="table").collect()] == ["r2"]
+    assert sorted(r.qname for r in reads.by_bx("*", output="table").collect()) == ["r3", "r6"]
+
+
 def test_interval_files(spark, tmp_path):
     (tmp_path / "a.bed").write_text("# c\ntrack x\nchr1\t0\t10\tname\nchr2\t5\t6\n")
     assert [(r.seqnames, r.start, r.end) for r in intervals.read(spark, str(tmp_path / "a.bed")).collect()] == [("chr1", 1, 10), ("chr2", 6, 6)]
