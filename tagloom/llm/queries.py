@@ -51,7 +51,7 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"], ids=False)
+    return pieces.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
 def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
