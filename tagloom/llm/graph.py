@@ -13,16 +13,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Both steps need the least neighbour of each node, which is aggregated before the shuffle, so a node with
     very many edges is no more work for a task than others; the join that hands it back is one that adaptive
-    execution splits. The number of rounds grows with the logarithm of the longest path.
+    execution splits. They are merge joins whatever their size: nothing of them goes through the driver. The number of rounds grows with the logarithm of the longest path.
     """
     now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = large.join(least.hint("merge"), "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.withColumnRenamed("m", "v")).distinct()
         new = written(small)
         dropped(now)

@@ -252,8 +252,8 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, as edges (u, v)."""
-    one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
-    both = one.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").select("a", "b", "x", "y")
+    one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")).hint("merge"), "b")
+    both = one.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")).hint("merge"), "a").select("a", "b", "x", "y")
 
     def run(batches):
         for b in chain.from_iterable(map(sliced, batches)):
@@ -299,7 +299,7 @@ def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     sketch = packed_.select("id", "n", F.explode(F.slice(F.sort_array("items"), 1, SKETCH)["h"]).alias("h"))
     pivots = F.array_distinct(F.array(*(F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(i))) for i in range(PIVOTS))))
     few = sketch.groupBy("h").agg(pivots.alias("p")).select("h", F.explode("p").alias("p"))
-    mates = sketch.join(few, "h").filter((F.col("p.id") != F.col("id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent))
+    mates = sketch.join(few.hint("merge"), "h").filter((F.col("p.id") != F.col("id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent))
     first = written(mates.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct())
     roots = components(verified(first, sets, percent))
     index = packed_.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"), F.explode("items").alias("i")).select("id", "n", "root", "i.h", "i.pos")
@@ -309,7 +309,7 @@ def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     index = index.join(several, "h", "left_semi")
     left = index.select("h", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"), F.col("root").alias("r_a"))
     right = index.select("h", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("p_b"), F.col("root").alias("r_b"))
-    second = written(passed(left.join(right, "h").filter("a < b and r_a <> r_b"), percent).join(first, ["a", "b"], "left_anti"))
+    second = written(passed(left.join(right.hint("merge"), "h").filter("a < b and r_a <> r_b"), percent).join(first, ["a", "b"], "left_anti"))
     edges = verified(second, sets, percent).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = classes.join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("id", F.coalesce("root", "id")).select("c1", "c2", "id")
     out = each.join(named, ["c1", "c2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
