@@ -11,9 +11,9 @@ plus what both have left) and the count itself drop most pairs; a suffix filter
 counts in hash ranges drops more before sets are intersected, once a pair.
 
 Only components are wanted, so pairs inside one aren't needed. First only the few least shingles of each
-class's prefix are joined, and the classes of one compared with a few of them: that finds nearly all links in
-groups of copies. Shingles whose classes are all in one component then go, and pairs between different
-components are joined in full. Every link between different components is thus found.
+class's prefix are joined, and the classes of one compared with a few of them, mostly with those that have the fewest shingles of their own: that finds nearly
+all links in groups of copies. Shingles whose classes are all in one component then go, as do a class's that
+no set of a size it could link with has, and pairs between different components are joined in full. Every link between different components is thus found.
 
 Defined results: a null text, or one without words, has an empty set, is its own component and links with
 nothing; fewer words than a shingle form one shingle; repeated rows of a doc_id are one class if their
@@ -44,6 +44,8 @@ MOST_FREQUENT, COUNTED = 1 << 19, 4
 BITMAP = 27
 #: A task counts shingles in lots of so many, and a range of the hash space holds so many; words it remembers; the most that a filter of class ids is sized for.
 LOT, RANGE, REMEMBERED, MOST_FILTERED = 1 << 21, 1 << 21, 200_000, 1 << 25
+#: Longs of a set's parities.
+PARITIES = 4
 #: An l-prefix asks for one shared shingle more for each so many shingles.
 STRIDE = 32
 #: Shingles of a class in the first round, and the classes of one that are compared with all of them.
@@ -221,9 +223,15 @@ def prefix_share(n):
     return 1 + n // STRIDE
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether the hashes of a set that fall on each of 64 PARITIES places are odd in number, as longs: two sets differ in at least as many hashes as in places."""
+    return np.packbits(np.bincount((found >> np.uint64(7)).astype(np.int64) % (64 * PARITIES), minlength=64 * PARITIES) & 1).view(np.int64)
+
+
 def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """doc_id, grams: the sets of the documents in ids (id), and of a few others that a filter of bounded size lets through; joins drop those."""
+    """doc_id, grams and the parities s0, s1...: the sets of the documents in ids (id), and of a few others that a filter of bounded size lets through; joins drop those."""
     keys = ids.select(key_hash(F.col("id")).alias("h"))
+    names = ["doc_id", "grams", *(f"s{i}" for i in range(PARITIES))]
     bloom = docs.sparkSession.sparkContext.broadcast(filled(keys, min(MOST_FILTERED, ids.count()), 0, 0.01))
 
     def run(batches):
@@ -231,9 +239,11 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
         for b in batches:
             h = b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
             b = b.filter(pa.array(bloom.value.has(h) if bloom.value else np.zeros(len(h), bool)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([shingler.of(t).tobytes() for t in raw(b.column("text"))], pa.binary())], ["doc_id", "grams"])
+            found = [shingler.of(t) for t in raw(b.column("text"))]
+            odd = np.concatenate([np.zeros(0, np.int64), *map(parities, found)]).reshape(-1, PARITIES)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([f.tobytes() for f in found], pa.binary()), *(pa.array(odd[:, i]) for i in range(PARITIES))], names)
 
-    return docs.select("doc_id", "text", key_hash(F.col("doc_id")).alias("h")).mapInArrow(run, "doc_id long, grams binary")
+    return docs.select("doc_id", "text", key_hash(F.col("doc_id")).alias("h")).mapInArrow(run, "doc_id long, grams binary, " + ", ".join(f"s{i} long" for i in range(PARITIES)))
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -263,12 +273,35 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
+def promising(index: DataFrame, percent: int) -> DataFrame:
+    """The rows (h, id, n, root, k, pos) of an index whose shingle h may belong to a link between two components.
+
+    No set shares more than k shingles before h and what is left from h on, which bounds the other set's size. So h must be
+    in another component, and in a set of such a size; a bit for each of 16 steps an octave tells the sizes h has.
+    """
+    step = lambda n: F.floor(F.log2(n) * 16).cast("int")
+    sizes = F.expr("bit_or(shiftleft(1L, cast(floor(log2(n) * 16) as int) % 64))")
+    held = index.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("greatest"), sizes.alias("sizes")).filter("least < greatest").select("h", "sizes")
+    fewest = F.expr(f"(n * {percent} + 99) div 100")
+    most = F.expr(f"(k + n - pos) * {100 + percent} div {percent} - n")
+    ones = F.expr("shiftleft(1L, _width) - 1L")
+    fits = F.expr("(shiftleft(_ones, _low) | shiftrightunsigned(_ones, 64 - _low)) & sizes") != 0
+    rows = index.withColumns({"_least": fewest, "_most": most}).filter("_least <= _most")
+    rows = rows.withColumns({"_low": step(F.col("_least")) % 64, "_width": step(F.col("_most")) - step(F.col("_least")) + 1}).withColumn("_ones", ones)
+    return rows.join(held.hint("merge"), "h").filter(fits).select(*index.columns)
+
+
 def passed(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of joined prefix rows (a, b, n_a, n_b, p_a, p_b) that length, count and positional filter let through."""
-    rows = rows.filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("shared"), F.max("p_a").alias("p_a"), F.max("p_b").alias("p_b"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    """Pairs (a, b) of joined prefix rows (a, b, and n, pos, k, s0... of both) that length, count, positional and parity filter let through.
+
+    k counts the shingles before the joined one that may be shared at all; any common shingle bounds what its sets share.
+    The filters of single rows become conditions of the join, which so gives few rows that aren't links.
+    """
     needed = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-    left = F.least(F.col("n_a") - F.col("p_a"), F.col("n_b") - F.col("p_b")) - 1
+    left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
+    differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(PARITIES)), F.lit(0))
+    rows = rows.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.least("k_a", "k_b") + 1 + left >= needed) & (differ <= F.col("n_a") + F.col("n_b") - 2 * needed))
+    pairs = rows.groupBy("a", "b").agg(F.count("*").alias("shared"), *(F.max(c).alias(c) for c in ("pos_a", "pos_b")), *(F.first(c).alias(c) for c in ("n_a", "n_b")))
     fewest = F.expr(f"least(n_a, n_b) div {STRIDE} + 1")
     return pairs.filter((F.col("shared") >= fewest) & (F.col("shared") + left >= needed)).select("a", "b")
 
@@ -293,23 +326,23 @@ def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     possible = (F.col("k") >= least) & (F.col("k") + F.col("n") - F.col("last") - 1 >= F.ceil(F.col("n") * percent / 100))
     ids = written(whole.groupBy("id").agg(F.count("*").alias("k"), F.max("pos").alias("last"), F.first("n").alias("n")).filter(possible).select("id"))
     # A row a class: what is joined with components in each round.
-    packed_ = written(whole.join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.collect_list(F.struct("h", "pos")).alias("items")))
+    packed_ = written(whole.join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.collect_list(F.struct("pos", "h")).alias("items")))
     dropped(whole)
     sets = written(sets_of(docs, ids, n))
-    sketch = packed_.select("id", "n", F.explode(F.slice(F.sort_array("items"), 1, SKETCH)["h"]).alias("h"))
-    pivots = F.array_distinct(F.array(*(F.min_by(F.struct("id", "n"), F.xxhash64("id", F.lit(i))) for i in range(PIVOTS))))
+    # Classes with few shingles of their own are nearest to what a group of copies was made from, so most of the group links with them.
+    sketch = packed_.select("id", "n", (F.array_min("items.pos") / F.col("n")).alias("own"), F.explode(F.slice(F.sort_array("items.h"), 1, SKETCH)).alias("h"))
+    tied = lambda i: F.xxhash64("id", F.lit(i))
+    pivots = F.array_distinct(F.array(*(F.min_by(F.struct("id", "n"), F.struct("own", tied(i))) for i in range(PIVOTS - 1)), F.min_by(F.struct("id", "n"), tied(PIVOTS))))
     few = sketch.groupBy("h").agg(pivots.alias("p")).select("h", F.explode("p").alias("p"))
     mates = sketch.join(few.hint("merge"), "h").filter((F.col("p.id") != F.col("id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * percent))
     first = written(mates.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct())
     roots = components(verified(first, sets, percent))
-    index = packed_.join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"), F.explode("items").alias("i")).select("id", "n", "root", "i.h", "i.pos")
-    index = written(index)
-    # Shingles whose classes are all in one component have no more to tell.
-    several = index.groupBy("h").agg(F.min("root").alias("least"), F.max("root").alias("greatest")).filter("least < greatest").select("h")
-    index = index.join(several, "h", "left_semi")
-    left = index.select("h", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("p_a"), F.col("root").alias("r_a"))
-    right = index.select("h", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("p_b"), F.col("root").alias("r_b"))
-    second = written(passed(left.join(right.hint("merge"), "h").filter("a < b and r_a <> r_b"), percent).join(first, ["a", "b"], "left_anti"))
+    index = packed_.join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"), F.posexplode(F.sort_array("items")).alias("k", "i")).select("id", "n", "root", "k", "i.h", "i.pos")
+    index = promising(promising(written(index), percent), percent)
+    index = written(index.join(sets.drop("grams").withColumnRenamed("doc_id", "id").hint("merge"), "id"))
+    left, right = (index.select("h", *(F.col(c).alias(f"{c}_{s}") for c in index.columns if c != "h")) for s in "ab")
+    rows = left.join(right.hint("merge"), "h").filter("id_a < id_b and root_a <> root_b").withColumnsRenamed({"id_a": "a", "id_b": "b"})
+    second = written(passed(rows, percent).join(first, ["a", "b"], "left_anti"))
     edges = verified(second, sets, percent).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
     named = classes.join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("id", F.coalesce("root", "id")).select("c1", "c2", "id")
     out = each.join(named, ["c1", "c2"], "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
