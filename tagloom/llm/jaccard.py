@@ -45,7 +45,7 @@ BITMAP = 27
 #: A task counts shingles in lots of so many, and a range of the hash space holds so many; words it remembers; the most that a filter of class ids is sized for.
 LOT, RANGE, REMEMBERED, MOST_FILTERED = 1 << 21, 1 << 21, 200_000, 1 << 25
 #: Longs of a set's parities.
-PARITIES = 4
+PARITIES = 16
 #: An l-prefix asks for one shared shingle more for each so many shingles.
 STRIDE = 32
 #: Shingles of a class in the first round, and the classes of one that are compared with all of them.
@@ -299,10 +299,12 @@ def passed(rows: DataFrame, percent: int) -> DataFrame:
     """
     needed = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
     left = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) - 1
+    fewest = F.expr(f"least(n_a, n_b) div {STRIDE} + 1")
     differ = sum((F.bit_count(F.col(f"s{i}_a").bitwiseXOR(F.col(f"s{i}_b"))) for i in range(PARITIES)), F.lit(0))
-    rows = rows.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.least("k_a", "k_b") + 1 + left >= needed) & (differ <= F.col("n_a") + F.col("n_b") - 2 * needed))
+    rows = rows.filter((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.least("k_a", "k_b") + 1 + left >= needed))
+    # The first common shingles, as many as are asked for, stand before so many places: a set has no more of its own than the rest.
+    rows = rows.filter((F.col("pos_a") < F.col("n_a") - needed + fewest) & (F.col("pos_b") < F.col("n_b") - needed + fewest) & (differ <= F.col("n_a") + F.col("n_b") - 2 * needed))
     pairs = rows.groupBy("a", "b").agg(F.count("*").alias("shared"), *(F.max(c).alias(c) for c in ("pos_a", "pos_b")), *(F.first(c).alias(c) for c in ("n_a", "n_b")))
-    fewest = F.expr(f"least(n_a, n_b) div {STRIDE} + 1")
     return pairs.filter((F.col("shared") >= fewest) & (F.col("shared") + left >= needed)).select("a", "b")
 
 
