@@ -57,7 +57,7 @@ ROLES = set("navigation banner contentinfo complementary search dialog alert for
 NAMES = set("nav navbar navigation menu menubar sidebar aside footer ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup share sharing social comment comments reply replies respond disqus breadcrumb breadcrumbs related recommended recommendations pagination pager widget popup modal overlay login search toolbar masthead topbar copyright skip".split())
 HEADS = {"header", "head", "masthead"}
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">]++)*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
@@ -82,6 +82,25 @@ def described(tag: str, rest: str, inside_main: bool) -> tuple[str, bool, bool]:
     return label, aside and tag not in ("html", "body", "article", "main"), hidden
 
 
+#: Tags whose attributes are at most so long are remembered, so many of them in a worker.
+SHORT, REMEMBERED = 200, 20_000
+
+
+class Described(dict):
+    """(tag, attributes, inside <article> or <main>) -> what described tells of it."""
+
+    def __missing__(self, key: tuple[str, str, bool]) -> tuple[str, bool, bool]:
+        out = described(*key)
+        if len(key[1]) <= SHORT:
+            if len(self) > REMEMBERED:
+                self.clear()
+            self[key] = out
+        return out
+
+
+remembered = Described()
+
+
 def read(page: str) -> tuple[Node, list[tuple[list[Node], str, float, list[str]]]]:
     """A page's tree of block elements, and its blocks of text: their elements from the root down, text, share of the text in links, and targets of these."""
     root = Node("html")
@@ -93,16 +112,19 @@ def read(page: str) -> tuple[Node, list[tuple[list[Node], str, float, list[str]]
 
     def ended() -> None:
         if held:
-            text = " ".join(html.unescape("".join(t for t, _ in held)).split())
+            text = " ".join(html.unescape("".join([t for t, _ in held])).split())
             if text:
-                size = sum(len(t) for t, _ in held)
-                blocks.append(([n for _, n in stack if n], text, sum(len(t) for t, to in held if to is not None) / max(1, size), list(dict.fromkeys(to for t, to in held if to is not None and t.strip()))))
+                linked = [x for x in held if x[1] is not None]
+                share = sum(len(t) for t, _ in linked) / sum(len(t) for t, _ in held) if linked else 0.0
+                blocks.append(([n for _, n in stack if n], text, share, list(dict.fromkeys(to for t, to in linked if t.strip()))))
             held.clear()
 
     def popped(upto: int) -> None:
         nonlocal silent
-        if any(n for _, n in stack[upto:]):
-            ended()
+        for tag, node in stack[upto:]:
+            if node:
+                ended()
+                break
         for tag, _ in stack[upto:]:
             silent -= tag[0] == "!"
             if tag.lstrip("!") == "a":
@@ -143,8 +165,11 @@ def read(page: str) -> tuple[Node, list[tuple[list[Node], str, float, list[str]]
                     popped(i)
                 elif node and (name in SCOPES.get(tag, ()) or name.lstrip("!") not in closes and tag not in SCOPES):
                     break
-        inside = any(n.main for _, n in stack if n)
-        label, aside, hidden = described(tag, m[3], inside)
+        if m[3] or tag in BLOCKS:
+            inside = any([n.main for _, n in stack if n])
+            label, aside, hidden = remembered[tag, m[3], inside]
+        else:
+            label, aside, hidden = tag, False, False
         node = None
         if (tag in BLOCKS or aside) and len(stack) < DEEPEST:
             ended()
@@ -171,12 +196,17 @@ def matched(a: Node, b: Node, memo: dict) -> tuple[int, list[tuple[Node, Node]]]
         return memo[key]
     rows, cols = len(a.children), len(b.children)
     best = [[0] * (cols + 1) for _ in range(rows + 1)]
-    for i in range(1, rows + 1):
-        for j in range(1, cols + 1):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + matched(a.children[i - 1], b.children[j - 1], memo)[0])
+    for i, x in enumerate(a.children, 1):
+        above, here = best[i - 1], best[i]
+        for j, y in enumerate(b.children, 1):
+            most = above[j] if above[j] > here[j - 1] else here[j - 1]
+            if x.label == y.label:
+                most = max(most, above[j - 1] + matched(x, y, memo)[0])
+            here[j] = most
     i, j, pairs = rows, cols, []
     while i and j:
-        w = matched(a.children[i - 1], b.children[j - 1], memo)[0]
+        x, y = a.children[i - 1], b.children[j - 1]
+        w = matched(x, y, memo)[0] if x.label == y.label else 0
         if w and best[i][j] == best[i - 1][j - 1] + w:
             i, j = i - 1, j - 1
             pairs.append((a.children[i], b.children[j]))
@@ -207,15 +237,20 @@ def merged(a: Node, b: Node, memo: dict | None = None) -> Node:
 
 
 def folded(node: Node) -> tuple:
-    """A tree as nested tuples (label, children), neighbours of one label merged."""
+    """A tree as nested tuples (label, children), neighbours of one label merged; the tree itself changes."""
+    return frozen(collapsed(node))
+
+
+def collapsed(node: Node) -> Node:
     out: list[Node] = []
     for c in node.children:
-        c = thawed(folded(c))
+        collapsed(c)
         if out and out[-1].label == c.label:
             merged(out[-1], c)
         else:
             out.append(c)
-    return node.label, tuple(frozen(c) for c in out)
+    node.children = out
+    return node
 
 
 def frozen(node: Node) -> tuple:
