@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contexts, digest, jaccard, media, mixing, pieces, quality, toxicity, urls, wrappers
+from . import contexts, digest, jaccard, media, mixing, packing, pieces, quality, toxicity, urls, wrappers
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,7 +62,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_image_copies, op3_toxicity, op4_context_trees, op5_wrappers, op6_quality, op7_jaccard, op8_sentencepiece, op9_fingerprint, op10_mixing)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_image_copies, op3_toxicity, op4_context_trees, op5_wrappers, op6_quality, op7_jaccard, op8_sentencepiece, op9_fingerprint, op10_mixing, op11_packing)}
 
 SQL: dict[str, str] = {
     "op1_url_filter": f"""
