@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contexts, digest, jaccard, media, mixing, packing, pieces, quality, toxicity, urls, wrappers
+from . import contexts, digest, divergence, jaccard, media, mixing, packing, pieces, quality, resampling, toxicity, urls, wrappers
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,7 +66,15 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_image_copies, op3_toxicity, op4_context_trees, op5_wrappers, op6_quality, op7_jaccard, op8_sentencepiece, op9_fingerprint, op10_mixing, op11_packing)}
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_url_filter, op2_image_copies, op3_toxicity, op4_context_trees, op5_wrappers, op6_quality, op7_jaccard, op8_sentencepiece, op9_fingerprint, op10_mixing, op11_packing, op12_divergence, op13_resampling)}
 
 SQL: dict[str, str] = {
     "op1_url_filter": f"""
@@ -81,4 +89,40 @@ fits AS (
 SELECT page_id, host, path, rule,
   coalesce(v, CASE WHEN {" OR ".join(f"host = '{h}' OR ends_with(host, '.{h}')" for h in BLOCKED)} THEN 'block' ELSE 'allow' END) AS verdict
 FROM cut LEFT JOIN fits USING (page_id)""",
+    "op12_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 30),
+c AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+grid AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM g JOIN kept k ON g.lang = k.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+sums AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS own, count(*) OVER (PARTITION BY lang, source) AS v, sum(n) OVER (PARTITION BY lang, term) AS n_lang, sum(n) OVER (PARTITION BY lang) AS every FROM grid),
+p AS (SELECT lang, source, term, n, 1 + 1000000000::HUGEINT * (n + 5) // (own + 5 * v) AS p, 1 + 1000000000::HUGEINT * (n_lang + 5) // (every + 5 * v) AS q FROM sums),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM found QUALIFY part = 'pair' OR rank <= 50""",
+    "op13_resampling": r"""
+WITH crcs AS (SELECT [list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) FOR i IN range(256)] AS step),
+every AS (
+  SELECT 'd' AS side, row_number() OVER () AS row, doc_id, text FROM documents
+  UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark),
+w AS (SELECT side, row, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS f FROM every),
+hexed AS (SELECT DISTINCT f, hex(f) AS h FROM w),
+coded AS (SELECT f, [16 * (strpos('0123456789ABCDEF', h[2 * i + 1:2 * i + 1]) - 1) + strpos('0123456789ABCDEF', h[2 * i + 2:2 * i + 2]) - 1 FOR i IN range(length(h) // 2)] AS bytes FROM hexed),
+bucketed AS (SELECT f, xor(list_reduce(bytes, lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM coded, crcs),
+b AS (SELECT side, row, bucket FROM w JOIN bucketed USING (f)),
+n AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 't') AS t FROM b GROUP BY bucket),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE)) / (CAST(s + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM n),
+own AS (SELECT row, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS gain FROM b JOIN gains USING (bucket) WHERE side = 'd' GROUP BY row),
+scored AS (
+  SELECT row, doc_id, coalesce(n_features, 0) AS n_features, coalesce((gain - ((gain % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+    list_reduce(range(8), lambda a, i: a * 16 + strpos('0123456789abcdef', substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), i + 1, 1)) - 1, 0) AS h
+  FROM every LEFT JOIN own USING (row) WHERE side = 'd'),
+final AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored),
+ranked AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM final WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM final LEFT JOIN ranked USING (row)""",
 }
