@@ -21,7 +21,9 @@ cut, never shortened. The same input files give the same sequences.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,8 +37,13 @@ from .common import dropped, raw, sliced, written
 
 MODEL = "/opt/tokenizers/word_bpe_49k.json"
 END = 1
-#: Words that a task remembers, and the longest of them in bytes.
-REMEMBERED, LONGEST = 250_000, 64
+#: Words (and parts of words) that a task remembers, and the longest of them in bytes.
+REMEMBERED, LONGEST = 400_000, 64
+#: The model's pattern for words of these letters and signs, and the characters by which it spells bytes.
+LETTERS = "a-zß-öø-ıĳ-ňŊ-ſ"
+PLAIN, PARTS = re.compile(f"(?:[!-~À-ÖØ]|[{LETTERS}])*"), re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELLED = {b: chr(b) for b in SHOWN} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)}.difference(SHOWN)))}
 #: Ways of choosing a sequence: the score, and the weights of tokens, documents and attention. The way that needs fewest sequences counts.
 WAYS = (("norm", (1.0, 1e-6, 1e-6)), ("norm", (1.0, 0.01, 0.1)), ("dot", (1.0, 0.1, 1.0)))
 
@@ -120,29 +127,51 @@ def slots(kinds: list[tuple[int, tuple[tuple[int, int], ...]]]) -> tuple[np.ndar
 
 
 class Words:
-    """Ids of texts as little-endian 32-bit numbers. White space ends a token, so a word's ids don't depend on what is around it, and each word is encoded once."""
+    """Ids of texts as little-endian 32-bit numbers.
+
+    White space ends a token, so a word's ids don't depend on what is around it, and each word is encoded
+    once. Words of plain letters, digits and signs are split by the model's own pattern, and its merges are
+    asked for each part once; the tokenizer encodes other words, special tokens among them, whole.
+    """
 
     def __init__(self, model: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(model), {}
+        self.tokenizer, self.known, self.parts = Tokenizer.from_str(model), {}, {}
+        self.merges = self.tokenizer.model.tokenize
+
+    def part(self, p: str) -> bytes:
+        out = self.parts.get(p)
+        if out is None:
+            if len(self.parts) > REMEMBERED:
+                self.parts.clear()
+            spelled = p if p.isascii() else "".join(map(SPELLED.__getitem__, p.encode()))
+            out = self.parts[p] = array("I", [t.id for t in self.merges(spelled)]).tobytes()
+        return out
 
-    def encoded(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+    def word(self, w: bytes) -> bytes:
+        if w.isalpha():
+            return self.part(w.decode().lower())
+        s = w.decode("utf-8", "replace")
+        if PLAIN.fullmatch(s) and "<|" not in s:
+            return b"".join(map(self.part, PARTS.findall(s.lower())))
+        return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: bytes) -> bytes:
-        words = text.split()
+        # Special tokens are found before letters are lower-cased.
+        words, known = (text if b"<|" in text else text.lower()).split(), self.known
         try:
-            return b"".join(map(self.known.__getitem__, words))
+            return b"".join(map(known.__getitem__, words))
         except KeyError:
-            fresh = list({*words}.difference(self.known))
-        if len(self.known) > REMEMBERED:
-            self.known, fresh = {}, list({*words})
-        new = dict(zip(fresh, self.encoded(fresh), strict=True))
-        out = b"".join([self.known[w] if w in self.known else new[w] for w in words])
-        self.known.update((w, x) for w, x in new.items() if len(w) <= LONGEST)
+            if len(known) > REMEMBERED:
+                known.clear()
+        fresh = {*words}.difference(known)
+        known.update(zip(fresh, map(self.word, fresh), strict=True))
+        out = b"".join(map(known.__getitem__, words))
+        for w in fresh:
+            if len(w) > LONGEST:
+                del known[w]
         return out
 
 
