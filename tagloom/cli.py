@@ -7,7 +7,6 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .operators import index
 from .operators.lookup import Alignments
 from .sources import bam, sam
 
@@ -15,7 +14,7 @@ from .sources import bam, sam
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tagloom", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, text in (("build", "index a BAM file by tags and read names"), ("lookup", "print records of tag values"), ("region", "print records that share a tag value with reads in regions"), ("list", "name the indexes")):
+    for name, text in (("build", "index a BAM file by tags, read names and coordinates"), ("lookup", "print records of tag values"), ("region", "print records that share a tag value with reads in regions"), ("list", "name the indexes")):
         c = commands.add_parser(name, help=text)
         c.add_argument("-f", "--file", required=True)
         c.add_argument("-i", "--index")
@@ -29,7 +28,8 @@ def main(arguments: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("tagloom").getOrCreate()
     reads = Alignments(spark, a.file, a.index)
     if a.command == "build":
-        print(*index.build(reads.records, reads.index_path, a.tag or ["BX"]))
+        print(*reads.build_index(*(a.tag or ["BX"])))
+        reads.build_coordinates()
     elif a.command == "list":
         print(*reads.indexes())
     else:

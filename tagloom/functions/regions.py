@@ -52,7 +52,7 @@ def restyled(regions: DataFrame, references: DataFrame) -> DataFrame:
     """Regions whose names the references (name) lack get the other style, with or without "chr", if that is known. The records' side stays as it is, so filters on it still reach the scan."""
     names = references.select(F.col("name").alias("_known")).distinct()
     other = F.when(F.col("seqnames").startswith("chr"), plain(F.col("seqnames"))).otherwise(F.concat(F.lit("chr"), "seqnames"))
-    marked = regions.join(F.broadcast(names), F.col("seqnames") == F.col("_known"), "left")
+    marked = regions.join(names, F.col("seqnames") == F.col("_known"), "left")
     return marked.withColumn("seqnames", F.when(F.col("_known").isNull(), other).otherwise(F.col("seqnames"))).drop("_known")
 
 

@@ -1,4 +1,4 @@
-"""Tag indexes: a folder with a table (key, voffset) for each tag and one for read names."""
+"""Tag indexes: a folder with a table (key, file, voffset) for each tag and one for read names."""
 
 from __future__ import annotations
 
@@ -25,7 +25,8 @@ def _folder(spark: SparkSession, path: str):
 def available(spark: SparkSession, index_path: str) -> list[str]:
     """The names of the indexes in a folder; none if it isn't there."""
     fs, p = _folder(spark, index_path)
-    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+    found = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+    return sorted(n for n in found if n == QNAME or len(n) == 2)
 
 
 def exists(spark: SparkSession, index_path: str, name: str) -> bool:
@@ -40,37 +41,40 @@ def checked(name: str) -> str:
     return name
 
 
-def key(name: str, any_type: bool = False) -> Column:
+def key(name: str, any_type: bool = True) -> Column:
+    """A record's key: the text of a tag of any type, or of strings alone, and MISSING where it has none."""
     return F.col("qname") if name == QNAME else tags.key(F.col("aux"), name, any_type)
 
 
-def entries(records: DataFrame, name: str, any_type: bool = False) -> DataFrame:
-    """key, voffset: each pair once. Records without the tag have the key "*"."""
-    return records.select(key(checked(name), any_type).alias("key"), "voffset").distinct()
+def entries(records: DataFrame, name: str, any_type: bool = True) -> DataFrame:
+    """key, voffset and, if the records have it, file: each place once. Records without the tag have the key "*"."""
+    place = [c for c in ("file", "voffset") if c in records.columns]
+    return records.select(key(checked(name), any_type).alias("key"), *place).distinct()
 
 
-def build(records: DataFrame, index_path: str, names: list[str], any_type: bool = False) -> list[str]:
-    """Writes an index for each name, and always one for QNAME. Building again replaces an index.
+def stored(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Writes rows with a key, range-partitioned and sorted by it, with Bloom filters, so that a lookup reads few row groups."""
+    place = [c for c in ("file", "voffset") if c in rows.columns]
+    rows.repartitionByRange("key", *place).sortWithinPartitions("key", *place).write.mode(mode).option("parquet.bloom.filter.enabled#key", "true").parquet(path)
 
-    A table is range-partitioned and sorted by key, with Bloom filters, so a lookup reads few row groups.
-    """
+
+def build(records: DataFrame, index_path: str, names: list[str], any_type: bool = True) -> list[str]:
+    """Writes an index for each name, and always one for QNAME. Building again replaces an index."""
     built = [*dict.fromkeys([*map(checked, names), QNAME])]
     for name in built:
-        rows = entries(records, name, any_type)
-        rows.repartitionByRange("key").sortWithinPartitions("key", "voffset").write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").parquet(f"{index_path}/{name}")
+        stored(entries(records, name, any_type), f"{index_path}/{name}")
     return built
 
 
 def cover(records: DataFrame, path: str, name: str) -> None:
     """Writes the records themselves clustered by a tag, so that lookups by it need no join. The last component of the path is up to the caller."""
-    rows = records.withColumn("key", key(checked(name)))
-    rows.repartitionByRange("key").sortWithinPartitions("key", "voffset").write.mode("overwrite").option("parquet.bloom.filter.enabled#key", "true").parquet(path)
+    stored(records.withColumn("key", key(checked(name))), path)
 
 
 def opened(spark: SparkSession, index_path: str, name: str) -> DataFrame:
     if not exists(spark, index_path, name):
         raise ValueError(f"there is no index {name} in {index_path}; there are {available(spark, index_path)}")
-    return spark.read.schema("key string, voffset bigint").parquet(f"{index_path}/{name}")
+    return spark.read.schema("key string, file string, voffset bigint").option("recursiveFileLookup", "true").parquet(f"{index_path}/{name}")
 
 
 def matches(entries_: DataFrame, keys: list[str]) -> DataFrame:

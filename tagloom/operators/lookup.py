@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar, ranges, regions, tags
 from ..sources import bam
-from . import index, overlap
+from . import coordinates, index, overlap
 
 log = logging.getLogger(__name__)
 
@@ -30,7 +30,9 @@ def region_keys(records: DataFrame, column: str, wanted: DataFrame) -> DataFrame
 
 
 class Alignments:
-    """The records of alignment files with their indexes."""
+    """The records of alignment files with their indexes. Lookups by an index read only the places that it gives."""
+
+    bam_file = None
 
     def __init__(self, spark: SparkSession, bam_file: str | None = None, index_path: str | None = None, records: DataFrame | None = None, coords: str = "raw", require_index: bool = True, include_duplicates: bool = True, **options):
         """bam_file is checked and read, or records are given in the canonical schema. coords is "raw" (pos from 0) or "one_based"."""
@@ -40,7 +42,9 @@ class Alignments:
             if not bam_file or not bam.is_bam(bam_file):
                 raise ValueError(f"not a BAM file: {bam_file}")
             records = bam.read(spark, bam_file, **options)
+            self.bam_file = bam_file
         self.spark, self.records, self.coords = spark, records, coords
+        self.options = {k: v for k, v in options.items() if k in ("tags", "fields")}
         self.index_path = index_path or (index.default_path(bam_file) if bam_file else None)
         self.require_index, self.include_duplicates = require_index, include_duplicates
 
@@ -49,7 +53,36 @@ class Alignments:
 
     def build_index(self, *names: str) -> list[str]:
         """Indexes tags of all types, numbers under their text; records that lack a tag are under "*"."""
-        return index.build(self.records, self.index_path, list(names), any_type=True)
+        return index.build(self.records, self.index_path, list(names))
+
+    def build_coordinates(self) -> None:
+        """Indexes where records stand on their references, so that region lookups read only what they need."""
+        if not self.bam_file:
+            raise ValueError("only the places in BAM files can be indexed")
+        coordinates.build(self.spark, self.bam_file, self.index_path)
+
+    def by_region(self, wanted, output: str = "ranges", verbose: bool = False) -> DataFrame:
+        """Mapped records that overlap any of the regions, each once."""
+        table = self._restyled(regions.table(self.spark, wanted))
+        found = self._in_regions(table)
+        return self._shaped(found, output)
+
+    def references(self) -> DataFrame:
+        """name: the references of the files' headers, or those that records name."""
+        if not self.bam_file:
+            return self.records.select(F.col("rname").alias("name")).distinct()
+        return bam.reference_names(self.spark, self.bam_file)
+
+    def _restyled(self, table: DataFrame) -> DataFrame:
+        return regions.restyled(table, self.references())
+
+    def _has_coordinates(self) -> bool:
+        return bool(self.bam_file and self.index_path and coordinates.exists(self.spark, self.index_path))
+
+    def _in_regions(self, table: DataFrame) -> DataFrame:
+        if self._has_coordinates():
+            return coordinates.reads(self.spark, self.index_path, table, self.include_duplicates, **self.options)
+        return overlap.joined(overlap.kept(self.records, self.include_duplicates), table, "left_semi")
 
     def by_bx(self, values=None, regions=None, **how) -> DataFrame:
         return self._values("BX", values, regions, True, **how)
@@ -79,34 +112,45 @@ class Alignments:
         if output not in ("ranges", "table"):
             raise ValueError(f"output is ranges or table, not {output!r}")
         column = "tag" if not strict else tag if tag != index.QNAME else "_name"
-        named_as = F.col("qname") if tag == index.QNAME else tags.as_text(F.col("aux"), tag)
-        named = self.records.withColumn(column, named_as)
         if values is None and wanted is None:
-            return self._shaped(named.filter(F.lit(False)), output)
+            return self._shaped(self._named(self.records, tag, column).filter(F.lit(False)), output)
         if wanted is not None:
-            keys = self._region_keys(named, tag, column, wanted, verbose)
+            keys = self._region_keys(tag, column, wanted, verbose)
         else:
             values = [values] if isinstance(values, str) or not isinstance(values, (list, tuple, set)) else list(values)
             if strict and not all(isinstance(v, str) for v in values):
                 raise TypeError("values are texts")
             keys = [None if v is None else str(v) for v in values]
-        if isinstance(keys, list) and self.require_index:
-            # The index gives the records' places, which are joined with them.
-            found = index.opened(self.spark, self.index_path, tag).filter(F.col("key").isin([k for k in keys if k is not None])).select("voffset").distinct()
-            named = named.join(found.withColumnRenamed("voffset", "_place"), F.col("voffset").eqNullSafe(F.col("_place")), "left_semi")
+        named = self._named(self._at_keys(tag, keys) if self.require_index else self.records, tag, column)
         if isinstance(keys, list):
             # Records without the tag are found under the key that the index has for them.
-            named = named.withColumn("_key_of", index.key(tag, any_type=True))
+            named = named.withColumn("_key_of", index.key(tag))
             return self._shaped(by_keys(named, "_key_of", keys, distinct_keys).drop("_key_of"), output)
         return self._shaped(by_keys(named, column, keys, distinct_keys), output)
 
-    def _region_keys(self, named: DataFrame, tag: str, column: str, wanted, verbose: bool) -> DataFrame:
+    def _named(self, records: DataFrame, tag: str, column: str) -> DataFrame:
+        return records.withColumn(column, F.col("qname") if tag == index.QNAME else tags.as_text(F.col("aux"), tag))
+
+    def _at_keys(self, tag: str, keys: DataFrame | list[str]) -> DataFrame:
+        """The records at the places that the index has for some keys: sought in the files, or joined if the records come from elsewhere."""
+        found = index.opened(self.spark, self.index_path, tag)
+        if isinstance(keys, list):
+            found = found.filter(F.col("key").isin([k for k in keys if k is not None]))
+        else:
+            found = found.join(keys.select(F.col(keys.columns[0]).alias("key")), "key", "left_semi")
+        if self.bam_file:
+            return bam.fetched(self.spark, found.select("file", "voffset"), **self.options)
+        found = found.select(F.col("file").alias("_file"), F.col("voffset").alias("_place")).distinct()
+        same = F.col("voffset").eqNullSafe(F.col("_place"))
+        return self.records.join(found, same & F.col("file").eqNullSafe(F.col("_file")) if "file" in self.records.columns else same, "left_semi")
+
+    def _region_keys(self, tag: str, column: str, wanted, verbose: bool) -> DataFrame:
         table = regions.table(self.spark, wanted)
         if tag in table.columns:
             return table.select(F.col(tag).cast("string").alias(column)).filter(F.col(column).isNotNull())
-        table = regions.restyled(table, named.select(F.col("rname").alias("name")).distinct())
-        kept = overlap.kept(named, self.include_duplicates)
-        keys = overlap.joined(kept, table).filter(F.col(column).isNotNull()).select(column)
+        table = self._restyled(table)
+        inside = self._in_regions(table) if self._has_coordinates() else overlap.kept(self.records, self.include_duplicates)
+        keys = overlap.joined(self._named(inside, tag, column), table).filter(F.col(column).isNotNull()).select(column)
         if verbose:
             n, kinds = keys.agg(F.count("*"), F.countDistinct(column)).first()
             log.info("%d reads in the regions have %d different values of %s", n, kinds, tag)
@@ -119,8 +163,17 @@ class Alignments:
         return ranges.to_ranges(found) if output == "ranges" else found
 
     def write_subset(self, offsets: DataFrame, path: str, **options) -> None:
-        """Writes the records at some places (voffset) to BAM files."""
-        bam.write(self.records.join(offsets.select("voffset"), "voffset", "left_semi"), path, **options)
+        """Writes the records at some places (voffset, and file where there are several) to BAM files. Places in BAM files are sought."""
+        if self.bam_file:
+            own = bam.files(self.bam_file)
+            if "file" not in offsets.columns:
+                if len(own) > 1:
+                    raise ValueError("places in several files need a column file")
+                offsets = offsets.withColumn("file", F.lit(own[0]))
+            found = bam.fetched(self.spark, offsets)
+        else:
+            found = self.records.join(offsets, [c for c in ("file", "voffset") if c in offsets.columns and c in self.records.columns], "left_semi")
+        bam.write(found, path, **options)
 
 
 def is_empty(found: DataFrame) -> bool:

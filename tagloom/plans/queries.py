@@ -202,23 +202,85 @@ def q30_tag_update(spark, sf_dir):
     return tagged(spark, sf_dir).select("event_id", F.array_join(F.array_sort(F.map_keys(changed)), ",").alias("tags"), tags.get(changed, "NM", "i").alias("nm"))
 
 
-def q32_bam_lookup(spark, sf_dir):
-    """The reads written as BAM files in the shared folder, indexed, and looked up by tag values and by the lack of one."""
+def as_bam(spark, sf_dir, parts: int = 3) -> str:
+    """The path of the reads written as BAM files in the shared folder."""
     path = f"{shared(spark)}/reads-{uuid.uuid4().hex}"
-    rows = tagged(spark, sf_dir).select("qname", "flag", "rname", F.col("pos").cast("int").alias("pos"), F.lit(60).alias("mapq"), "cigar", F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), F.lit("*").alias("seq"), F.lit("*").alias("qual"), F.lit(None).cast("bigint").alias("voffset"), "aux")
-    bam.write(rows, path)
-    found = Alignments(spark, index_path=f"{path}-index", records=bam.read(spark, path))
+    rows = tagged(spark, sf_dir).select("qname", "flag", "rname", F.col("pos").cast("int").alias("pos"), F.lit(60).alias("mapq"), "cigar", F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), F.lit("*").alias("seq"), F.lit("*").alias("qual"), "aux")
+    bam.write(rows.repartitionByRange(parts, "rname", "pos").sortWithinPartitions("rname", "pos"), path)
+    return path
+
+
+def seen(records: DataFrame, *more: str) -> DataFrame:
+    return records.select(*more, "qname", "flag", "rname", "pos", "cigar", tags.as_text(F.col("aux"), "BX").alias("bx"), tags.as_text(F.col("aux"), "XK").alias("xk"))
+
+
+def finished(found: DataFrame, *paths: str) -> DataFrame:
+    """A result, computed, without the files that it was made from."""
+    spark, out = found.sparkSession, f"{shared(found.sparkSession)}/found-{uuid.uuid4().hex}"
+    found.write.parquet(out)
+    for p in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return spark.read.schema(found.schema).parquet(out)
+
+
+def q32_bam_lookup(spark, sf_dir):
+    """The reads written as BAM files, indexed, and sought by tag values and by the lack of one."""
+    path = as_bam(spark, sf_dir)
+    found = Alignments(spark, path, f"{path}-index")
     found.build_index("BX", "XK")
     by_value = found.by_bx(["BX8-1", "BX12-1", "*"], output="table").withColumn("by", F.lit("BX"))
     by_number = found.by_tag("XK", 7, output="table").withColumn("by", F.lit("XK"))
-    return by_value.unionByName(by_number, allowMissingColumns=True).select("by", "qname", "flag", "rname", "pos", "cigar", tags.as_text(F.col("aux"), "BX").alias("bx"), tags.as_text(F.col("aux"), "XK").alias("xk"))
+    return finished(seen(by_value.unionByName(by_number, allowMissingColumns=True), "by"), path, f"{path}-index")
+
+
+def q33_read_after_seek(spark, sf_dir):
+    """Records sought by name, a filter on places, and all records, from one DataFrame of BAM files."""
+    path = as_bam(spark, sf_dir)
+    reads_ = Alignments(spark, path, f"{path}-index")
+    reads_.build_index("BX")
+    sought = reads_.by_qname(["r5", "r77"], output="table")
+    places = reads_.records.filter("qname in ('r8', 'r9')").select("file", "voffset").collect()
+    here = reads_.records.filter(F.col("voffset").isin([r["voffset"] for r in places]) & F.col("file").isin([r["file"] for r in places]) & F.col("qname").isin("r8", "r9"))
+    parts = [seen(x.withColumn("by", F.lit(n)), "by") for n, x in (("name", sought), ("place", here), ("all", reads_.records))]
+    return finished(parts[0].union(parts[1]).union(parts[2]), path, f"{path}-index")
+
+
+def q34_split_scan(spark, sf_dir):
+    """All records of BAM files that are read in small ranges of bytes, with their files' and places' number checked by the count of different ones."""
+    path = as_bam(spark, sf_dir)
+    rows = bam.read(spark, path, split_bytes=20_000)
+    return finished(seen(rows.dropDuplicates(["file", "voffset"])), path)
+
+
+def q35_region_index(spark, sf_dir):
+    """Mapped reads in some regions, each once, by the coordinate index."""
+    path = as_bam(spark, sf_dir)
+    found = Alignments(spark, path, f"{path}-index")
+    found.build_coordinates()
+    return finished(seen(found.by_region(["click:100-110", "click:105-130", "view:10-", "purchase"], output="table")), path, f"{path}-index")
+
+
+def q36_inverted_regions(spark, sf_dir):
+    """Reads by regions some of which end before they start, by broadcast, by bins, and counted."""
+    rows = placed(spark, sf_dir)
+    wanted = rows.select(F.col("rname").alias("seqnames"), (F.col("pos") + 30).alias("start"), (F.col("pos") + 26 + F.col("event_id") % 9).alias("end")).filter("start % 4 = 0").distinct()
+    parts = [overlap.joined(rows, wanted, few=few, width=16).groupBy("event_id").agg(F.count("*").alias("n_regions")).withColumn("by", F.lit(by)) for by, few in (("few", 1 << 30), ("many", 0))]
+    return parts[0].union(parts[1]).union(overlap.counted(rows, wanted, 16).select("event_id", "n_regions").withColumn("by", F.lit("count")))
+
+
+def q37_binned_intervals(spark, sf_dir):
+    """Pairs of intervals that overlap, by bins."""
+    e = reads(spark, sf_dir).filter("rname <> 'view'")
+    left = e.select(F.col("rname").alias("seqnames"), F.col("pos").alias("start"), (F.col("pos") + 5).alias("end"), F.col("event_id").alias("id"))
+    right = e.groupBy(F.col("rname").alias("seqnames"), F.col("BX").alias("id")).agg(F.max("pos").alias("start"), (F.max("pos") + F.count("*") - 3).alias("end"))
+    return overlap.intervals(left, right, few=0, width=8).select("id", F.col("other_id").alias("bx"))
 
 
 def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one where none is set, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
-    os.makedirs(top.removeprefix("file://"), exist_ok=True)
-    return top.rstrip("/").removeprefix("file://")
+    return top.rstrip("/")
 
 
 SPECIAL = (".", "*", "X", "<*>", "<X>", "<NON_REF>", "<DEL>", "A[chr2:5[", "]c:1]A", "a")
@@ -226,6 +288,8 @@ SPECIAL = (".", "*", "X", "<*>", "<X>", "<NON_REF>", "<DEL>", "A[chr2:5[", "]c:1
 QUERIES: dict[str, Query] = {k: f for k, f in sorted(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
 LENGTH_OF = lambda ops: f"CAST(coalesce(list_sum([CAST(x AS BIGINT) FOR x IN regexp_extract_all(cigar, '([0-9]+)[{ops}]', 1)]), 0) AS BIGINT)"
+ON_REF = f"greatest({LENGTH_OF('MDN=X')}, 1)"
+SEEN = "SELECT qname, flag, rname, CAST(pos AS INTEGER) AS pos, cigar, CASE WHEN event_id % 7 <> 0 THEN BX END AS bx, CAST(XK AS VARCHAR) AS xk FROM reads"
 REACHED = f"rname = 'click' AND pos <= 110 AND pos + {LENGTH} > 100"
 
 _SQL = {
@@ -271,6 +335,14 @@ SELECT event_id, CASE WHEN r = a OR alt IN ('<*>', '<X>', '<NON_REF>') OR length
     "q31_binned_semi": f"SELECT event_id FROM reads r WHERE EXISTS (SELECT 1 FROM reads k WHERE r.rname = k.rname AND r.pos <= k.pos + 30 AND r.pos + {LENGTH} > k.pos + 29)",
     "q32_bam_lookup": """WITH t AS (SELECT qname, flag, rname, pos, cigar, CASE WHEN event_id % 7 <> 0 THEN BX END AS bx, CAST(XK AS VARCHAR) AS xk FROM reads)
 SELECT 'BX' AS by, * REPLACE (CAST(pos AS INTEGER) AS pos) FROM t WHERE coalesce(bx, '*') IN ('BX8-1', 'BX12-1', '*') UNION ALL SELECT 'XK', * REPLACE (CAST(pos AS INTEGER) AS pos) FROM t WHERE xk = '7'""",
+    "q33_read_after_seek": f"""WITH t AS ({SEEN}) SELECT 'name' AS by, * FROM t WHERE qname IN ('r5', 'r77') UNION ALL SELECT 'place', * FROM t WHERE qname IN ('r8', 'r9') UNION ALL SELECT 'all', * FROM t""",
+    "q34_split_scan": SEEN,
+    "q35_region_index": f"""WITH t AS ({SEEN}) SELECT * FROM t WHERE (flag & 4) = 0 AND (rname = 'purchase' OR rname = 'view' AND pos + {ON_REF} > 9 OR rname = 'click' AND pos < 130 AND pos + {ON_REF} > 99)""",
+    "q36_inverted_regions": f"""WITH k AS (SELECT DISTINCT rname, pos + 29 AS a, pos + 25 + event_id % 9 AS b FROM reads WHERE (pos + 29) % 4 = 0),
+c AS (SELECT event_id, count(*) AS n_regions FROM reads r JOIN k ON r.rname = k.rname AND k.a <= k.b AND r.pos <= k.b AND r.pos + {LENGTH} > k.a GROUP BY event_id)
+SELECT *, unnest(['few', 'many', 'count']) AS by FROM c""",
+    "q37_binned_intervals": """WITH e AS (SELECT * FROM reads WHERE rname <> 'view'), k AS (SELECT rname, BX, max(pos) AS a, max(pos) + count(*) - 3 AS b FROM e GROUP BY ALL)
+SELECT event_id AS id, k.BX AS bx FROM e JOIN k ON e.rname = k.rname AND k.a <= k.b AND e.pos <= k.b AND e.pos + 5 >= k.a""",
     "q30_tag_update": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'NM' ELSE 'BX,NM' END AS tags, event_id % 3 AS nm FROM reads",
 }
 SQL: dict[str, str] = {k: f"WITH reads AS ({READS})\n{v}" if not v.startswith("WITH ") else f"WITH reads AS ({READS}),\n{v[5:]}" for k, v in _SQL.items()}

@@ -26,7 +26,7 @@ def parsed(lines: DataFrame) -> DataFrame:
     entries = F.expr("slice(c, 12, greatest(size(c) - 11, 0))")
     aux = F.map_from_entries(F.transform(entries, lambda f: _field(f)))
     rname = F.when(number(3) > 0, c(2)).otherwise("*")
-    return rows.select(c(0).alias("qname"), flag.cast("int").alias("flag"), rname.alias("rname"), (number(3) - 1).alias("pos"), number(4).alias("mapq"), c(5).alias("cigar"), c(6).alias("rnext"), number(7).alias("pnext"), number(8).alias("tlen"), c(9).alias("seq"), c(10).alias("qual"), F.lit(None).cast("bigint").alias("voffset"), aux.cast(tags.AUX).alias("aux"))
+    return rows.select(c(0).alias("qname"), flag.cast("int").alias("flag"), rname.alias("rname"), (number(3) - 1).alias("pos"), number(4).alias("mapq"), c(5).alias("cigar"), c(6).alias("rnext"), number(7).alias("pnext"), number(8).alias("tlen"), c(9).alias("seq"), c(10).alias("qual"), F.lit(None).cast("bigint").alias("voffset"), F.lit(None).cast("string").alias("file"), aux.cast(tags.AUX).alias("aux"))
 
 
 def _field(f: Column) -> Column:

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import tags
 
-#: Columns in their fixed order; pos is 0-based and pnext 1-based, as stored.
+#: Columns in their fixed order; pos is 0-based and pnext 1-based, as stored. voffset and file say where a record stands; both are null for records that come from no BAM file.
 CORE = "qname string, flag int, rname string, pos int, mapq int, cigar string, rnext string, pnext int, tlen int, seq string, qual string"
-RECORD = f"{CORE}, voffset bigint, aux {tags.AUX}"
+RECORD = f"{CORE}, voffset bigint, file string, aux {tags.AUX}"
 NAMES = [c.split()[0] for c in CORE.split(", ")]
 
 

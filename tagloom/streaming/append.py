@@ -1,16 +1,24 @@
-"""Keeps an index up to date as new Parquet files of records arrive."""
+"""Keeps indexes up to date as new Parquet files of records arrive."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import index
 from ..sources import schema
 
 
-def follow(spark: SparkSession, records_path: str, index_path: str, name: str, checkpoint: str) -> StreamingQuery:
-    """Indexes the files that have come since the last call, each once, and stops."""
+def follow(spark: SparkSession, records_path: str, index_path: str, names: str | list[str], checkpoint: str) -> StreamingQuery:
+    """Indexes the files that have come since the last call, each once, and stops. Keys, order and filters are those of `index.build`, and QNAME is indexed too.
+
+    A batch's entries are a folder of their own, which a repeated batch replaces.
+    """
+    wanted = [*dict.fromkeys([*map(index.checked, [names] if isinstance(names, str) else names), index.QNAME])]
+
+    def add(batch: DataFrame, number: int) -> None:
+        for name in wanted:
+            index.stored(index.entries(batch, name), f"{index_path}/{name}/batch-{number:09d}")
+
     records = spark.readStream.schema(schema.RECORD).parquet(records_path)
-    rows = records.select(index.key(index.checked(name)).alias("key"), "voffset")
-    return rows.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(f"{index_path}/{name}")
+    return records.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

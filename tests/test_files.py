@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom import cli
-from tagloom.operators import index, overlap, summary
+from tagloom.operators import coordinates, index, overlap, summary
 from tagloom.operators.lookup import Alignments, is_empty
-from tagloom.sources import bam, intervals, sam
+from tagloom.sources import bam, bgzf, intervals, sam
 from tagloom.streaming import append
 
 HEADER = "@HD\tVN:1.6\n@SQ\tSN:chr19\tLN:100000\n@SQ\tSN:chr5\tLN:5000"
@@ -193,12 +193,10 @@ def test_counted_regions_are_those_of_the_join(spark):
         assert {r.id: r.n_regions for r in overlap.counted(rows, wanted, width).collect()} == plain
 
 
-def test_binned_intervals(spark, monkeypatch):
+def test_binned_intervals(spark):
     left = spark.range(50).select(F.lit("c").alias("seqnames"), (F.col("id") * 37 % 100).alias("start"), (F.col("id") * 37 % 100 + F.col("id") % 20).alias("end"), "id")
     plain = overlap.intervals(left, left)
-    monkeypatch.setattr(overlap, "FEW", 3)
-    monkeypatch.setattr(overlap, "BIN", 8)
-    binned = overlap.intervals(left, left)
+    binned = overlap.intervals(left, left, few=3, width=8)
     assert binned.count() == plain.count() > 50 and plain.exceptAll(binned.select(*plain.columns)).isEmpty()
 
 
@@ -229,7 +227,7 @@ def test_index_follows_new_files(spark, made, tmp_path):
     for k in range(2):
         rows.write.mode("append").parquet(str(tmp_path / "in"))
         append.follow(spark, str(tmp_path / "in"), str(tmp_path / "ix"), "BX", str(tmp_path / "cp")).awaitTermination(60)
-        assert spark.read.parquet(str(tmp_path / "ix" / "BX")).count() == (k + 1) * len(LINES)
+        assert index.opened(spark, str(tmp_path / "ix"), "BX").count() == (k + 1) * len(LINES)
 
 
 def test_command_line(spark, made, capsys, tmp_path):
@@ -240,3 +238,121 @@ def test_command_line(spark, made, capsys, tmp_path):
     assert capsys.readouterr().out.startswith("r1\t")
     cli.main(["list", "-f", path, "-i", str(tmp_path / "ix")])
     assert capsys.readouterr().out.split() == ["BX", "QNAME"]
+
+
+AUX = "map<string,struct<t:string,i:bigint,f:double,s:string,ia:array<bigint>,fa:array<double>>>"
+
+
+@pytest.fixture(scope="module")
+def large(spark, tmp_path_factory):
+    """A sorted BAM file of many blocks, some of whose records fill several, written in one part, and its index."""
+    path = str(tmp_path_factory.mktemp("large") / "b")
+    i = F.col("id")
+    long = F.when(i % 997 == 5, 200_000).when(i % 13 == 0, 300).otherwise(40).cast("int")
+    bx = F.struct(F.lit("Z").alias("t"), F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("double").alias("f"), F.concat(F.lit("B"), (i % 211).cast("string")).alias("s"), F.lit(None).cast("array<bigint>").alias("ia"), F.lit(None).cast("array<double>").alias("fa"))
+    nm = F.struct(F.lit("i").alias("t"), (i % 50).alias("i"), F.lit(None).cast("double").alias("f"), F.lit(None).cast("string").alias("s"), F.lit(None).cast("array<bigint>").alias("ia"), F.lit(None).cast("array<double>").alias("fa"))
+    rows = spark.range(8000).select(F.concat(F.lit("q"), i).alias("qname"), F.when(i % 17 == 3, 4).otherwise(0).alias("flag"), F.when(i < 5000, "chr19").otherwise("chr5").alias("rname"), (i * 700 % 3_500_000).cast("int").alias("pos"), F.lit(60).alias("mapq"), F.concat(long.cast("string"), F.lit("M")).alias("cigar"), F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), F.substring(F.repeat(F.sha2(i.cast("string"), 256), 4000), 1, 0).alias("none"), F.translate(F.substring(F.repeat(F.sha2(i.cast("string"), 512), 1600), 1, 200_000), "0123456789abcdef", "ACGTNACGTNACGTNA").substr(F.lit(1), long).alias("seq"), F.lit("*").alias("qual"), F.create_map(F.lit("BX"), bx, F.lit("NM"), nm).cast(AUX).alias("aux"))
+    bam.write(rows.drop("none").coalesce(1), path, references='[["chr19", 4000000], ["chr5", 4000000]]')
+    reads = Alignments(spark, path)
+    reads.build_index("BX", "NM")
+    reads.build_coordinates()
+    return path, reads
+
+
+def test_any_split_gives_all_records_once(spark, large):
+    path, _ = large
+    (file,) = bam.files(path)
+    whole = [(at, len(body)) for _, at, body, _ in bam.scanned(file)]
+    assert len(whole) == 8000 and max(n for _, n in whole) > 2 << 16
+    size = os.path.getsize(file)
+    rng = __import__("random").Random(4)
+    for splits in (2, 7, 40, 333):
+        cuts = sorted({0, *(rng.randrange(1, size) for _ in range(splits))})
+        found = [(at, len(body)) for a, b in zip(cuts, [*cuts[1:], None], strict=True) for _, at, body, _ in bam.scanned(file, a, b)]
+        assert found == whole
+    frame = bam.read(spark, path, split_bytes=50_000)
+    assert frame.rdd.getNumPartitions() == -(-size // 50_000) and sorted(r.voffset for r in frame.select("voffset").collect()) == [at for at, _ in whole]
+
+
+def test_lookups_inflate_only_their_blocks(spark, large):
+    path, reads = large
+    (file,) = bam.files(path)
+    places = reads.records.filter("qname in ('q5', 'q6', 'q4000', 'q7990')").select("file", "voffset")
+    tally = spark.sparkContext.accumulator(0)
+    assert sorted(r.qname for r in bam.fetched(spark, places, tally=tally).collect()) == ["q4000", "q5", "q6", "q7990"]
+    with open(file, "rb") as f:
+        n, at = 0, 0
+        while found := bgzf.block(f, at):
+            n, at = n + 1, found[1]
+    assert 0 < tally.value <= 12 < n / 3
+    plan = reads.by_bx("B7", output="table")._jdf.queryExecution().toString()
+    assert "BatchScan bam" not in plan and "MapInArrow" in plan
+    assert {r.qname for r in reads.by_bx("B7", output="table").collect()} == {f"q{i}" for i in range(7, 8000, 211)}
+    assert reads.by_tag("NM", [7, 8, 7]).count() == 480
+
+
+def test_a_filter_leaves_later_reads_alone(spark, large):
+    _, reads = large
+    frame = reads.records
+    some = [r.voffset for r in frame.select("voffset").limit(3).collect()]
+    assert frame.filter(F.col("voffset").isin(some)).count() == 3
+    assert frame.count() == 8000 and frame.filter(F.col("voffset") == some[0]).count() == 1 and frame.count() == 8000
+
+
+def test_regions_read_only_their_chunks(spark, large):
+    _, reads = large
+    rng = __import__("random").Random(9)
+    texts = ["chr19:1-1", "chr5", "chr19:3000000-", "chr19:1500001-1500001", "chr7:1-9"]
+    for _ in range(6):
+        a = rng.randrange(1, 3_500_000)
+        texts.append(f"chr{rng.choice((5, 19))}:{a}-{a + rng.choice((0, 50, 3000, 200_000))}")
+    every = coordinates.opened(spark, reads.index_path)
+    assert every.agg(F.sum("n")).first()[0] == 8000
+    for text in texts:
+        wanted = sorted(r.qname for r in overlap.scan(reads.records, text).collect())
+        assert sorted(r.qname for r in reads.by_region([text], output="table").collect()) == wanted
+    assert sorted(r.qname for r in reads.by_region(texts, output="table").collect()) == sorted({r.qname for t in texts for r in overlap.scan(reads.records, t).collect()})
+    tally = spark.sparkContext.accumulator(0)
+    from tagloom.functions import regions
+
+    assert coordinates.reads(spark, reads.index_path, regions.table(spark, ["chr5:700001-720000"]), tally=tally).count() > 10
+    assert tally.value < 12
+    assert sorted(r.BX for r in reads.by_bx(regions=["chr5:700001-700500"], output="table").select("BX").distinct().collect()) == sorted({r.bx for r in overlap.scan(reads.records, "chr5:700001-700500").selectExpr("element_at(aux, 'BX').s as bx").collect()})
+
+
+def test_inverted_regions_overlap_nothing(spark):
+    rows = spark.createDataFrame([("c", 10, "20M", 0, 1), ("c", 100, "20M", 0, 2)], "rname string, pos int, cigar string, flag int, id int")
+    wanted = spark.createDataFrame([("c", 25, 15), ("c", 110, 110), ("c", 1, 0)], "seqnames string, start long, end long")
+    for few in (0, 10):
+        assert [r.id for r in overlap.joined(rows, wanted, few=few, width=4).collect()] == [2]
+        assert [r.id for r in overlap.joined(rows, wanted, "left_semi", few=few, width=4).collect()] == [2]
+        assert overlap.intervals(wanted, wanted, few=few, width=4).count() == 1
+    assert [(r.id, r.n_regions) for r in overlap.counted(rows, wanted, 4).collect()] == [(2, 1)]
+
+
+def test_all_ways_of_indexing_have_one_key(spark, made, capsys, tmp_path):
+    path, reads = made
+    assert cli.main(["build", "-f", path, "-i", str(tmp_path / "a"), "-t", "NM", "-t", "BX"]) == 0
+    capsys.readouterr()
+    cli.main(["lookup", "-f", path, "-i", str(tmp_path / "a"), "-t", "NM", "3"])
+    assert capsys.readouterr().out.startswith("r1\t")
+    reads.records.write.parquet(str(tmp_path / "in"))
+    append.follow(spark, str(tmp_path / "in"), str(tmp_path / "b"), ["NM", "BX"], str(tmp_path / "cp")).awaitTermination(60)
+    for name in ("NM", "BX", "QNAME"):
+        one, other = (index.opened(spark, str(tmp_path / x), name).orderBy("key", "voffset").collect() for x in "ab")
+        assert one == other and len(one) == len(LINES)
+    assert index.counted(index.opened(spark, str(tmp_path / "b"), "NM")).filter("key = '3'").first().n == 1
+
+
+def test_several_files_under_one_index(spark, made, tmp_path):
+    _, reads = made
+    bam.write(reads.records.repartition(3, "qname"), str(tmp_path / "m"), header=HEADER)
+    both = Alignments(spark, str(tmp_path / "m"), str(tmp_path / "ix"))
+    both.build_index("BX")
+    assert len(bam.files(str(tmp_path / "m"))) > 1
+    assert sorted(r.flag for r in both.by_bx("AAA-1", output="table").collect()) == [97, 145]
+    assert sum(r.n for r in index.counted(index.opened(spark, str(tmp_path / "ix"), "BX")).collect()) == len(LINES)
+    both.write_subset(both.by_bx("AAA-1", output="table").select("file", "voffset"), str(tmp_path / "sub"))
+    assert bam.read(spark, str(tmp_path / "sub")).count() == 2
+    with pytest.raises(ValueError):
+        both.write_subset(both.by_bx("AAA-1", output="table").select("voffset"), str(tmp_path / "sub2"))
