@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import cigar, flags, ranges, regions, tags, variants
-from ..operators import index, overlap, summary
+from ..operators import index, overlap, pileup, summary
 from ..operators.lookup import Alignments, by_keys, region_keys
-from ..sources import bam
+from ..sources import bam, sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -277,6 +277,41 @@ def q37_binned_intervals(spark, sf_dir):
     return overlap.intervals(left, right, few=0, width=8).select("id", F.col("other_id").alias("bx"))
 
 
+def sequenced(spark, sf_dir):
+    """The reads with bases and qualities made from their numbers."""
+    c, i = F.col("cigar"), F.col("event_id").cast("string")
+    n = cigar.query_length(c).cast("int")
+    made = lambda text, letters: F.substr(F.repeat(F.translate(F.md5(text.cast("binary")), "0123456789abcdef", letters), 5), F.lit(1), n)
+    return reads(spark, sf_dir).withColumns({"seq": made(i, "ACGTACGTACGTACGN"), "qual": made(F.concat(F.lit("q"), i), "#+5?IIIIFFFF,,::")})
+
+
+def q38_base_counts(spark, sf_dir):
+    """Bases of each position, of quality 20 and more."""
+    return pileup.base_counts(sequenced(spark, sf_dir), least_quality=20)
+
+
+def q39_mate_overlap(spark, sf_dir):
+    """Positions of mates that overlap, with the qualities that are left of their bases."""
+    rows = sequenced(spark, sf_dir)
+    pair = F.expr("event_id div 2")
+    mates = rows.withColumns({"rname": F.concat(F.lit("ref"), (pair % 7).cast("string")), "pos": (pair * 37 % 5000 + F.col("event_id") % 2 * (pair % 70)).cast("int"), "cigar": F.lit("20M2D20M"), "flag": F.when(F.col("event_id") % 2 == 0, 99).otherwise(147), "tlen": F.lit(60), "seq": F.substring(F.repeat("seq", 3), 1, 40), "qual": F.substring(F.repeat("qual", 3), 1, 40)})
+    cells = pileup.stacked(mates, keep=("qname", "flag"), overlaps=True)
+    return cells.groupBy("rname", "pos").agg(F.count("*").alias("n"), F.sum("qual").alias("total"), F.count_if(F.col("qual") == 0).alias("zeros"))
+
+
+def q40_sequence_ranges(spark, sf_dir):
+    """A FASTA file with a sequence for each user, and a range of it for each of their events, from chunks of 100 bases."""
+    top = f"{shared(spark)}/fasta-{uuid.uuid4().hex}"
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    bases = F.translate(F.md5(F.col("event_id").cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGN")
+    whole = e.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", bases.alias("b")))), lambda x: x["b"]), "\n").alias("lines"))
+    whole.select(F.concat(F.lit(">u"), F.col("user_id").cast("string"), F.lit(" user\n"), "lines").alias("value")).repartition(2).write.text(f"{top}/text")
+    files = [r["path"] for r in spark.read.format("binaryFile").load(f"{top}/text/*.txt").select("path").collect()]
+    sequences.build(spark, ",".join(f.replace("file:///", "/") for f in files), f"{top}/chunks", chunk=100, split_bytes=50_000)
+    wanted = e.select("event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("seqnames"), (F.col("event_id") % 400 - 5).alias("start"), (F.col("event_id") % 400 + F.col("event_id") % 150).alias("end"))
+    return finished(sequences.fetched(spark.read.parquet(f"{top}/chunks"), wanted, 100), top)
+
+
 def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one where none is set, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
@@ -288,6 +323,9 @@ SPECIAL = (".", "*", "X", "<*>", "<X>", "<NON_REF>", "<DEL>", "A[chr2:5[", "]c:1
 QUERIES: dict[str, Query] = {k: f for k, f in sorted(globals().items()) if k[0] == "q" and k[1:3].isdigit()}
 
 LENGTH_OF = lambda ops: f"CAST(coalesce(list_sum([CAST(x AS BIGINT) FOR x IN regexp_extract_all(cigar, '([0-9]+)[{ops}]', 1)]), 0) AS BIGINT)"
+SEQUENCED = f"""SELECT *, CAST(regexp_extract(cigar, '^([0-9]+)M', 1) AS BIGINT) AS m, regexp_extract(cigar, '([DI])', 1) AS op, CAST(regexp_extract(cigar, 'M([0-9]+)', 1) AS BIGINT) AS k,
+  substr(repeat(translate(md5(CAST(event_id AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGN'), 5), 1, {LENGTH_OF('MIS=X')}) AS seq,
+  substr(repeat(translate(md5('q' || CAST(event_id AS VARCHAR)), '0123456789abcdef', '#+5?IIIIFFFF,,::'), 5), 1, {LENGTH_OF('MIS=X')}) AS qual FROM reads"""
 ON_REF = f"greatest({LENGTH_OF('MDN=X')}, 1)"
 SEEN = "SELECT qname, flag, rname, CAST(pos AS INTEGER) AS pos, cigar, CASE WHEN event_id % 7 <> 0 THEN BX END AS bx, CAST(XK AS VARCHAR) AS xk FROM reads"
 REACHED = f"rname = 'click' AND pos <= 110 AND pos + {LENGTH} > 100"
@@ -343,6 +381,24 @@ c AS (SELECT event_id, count(*) AS n_regions FROM reads r JOIN k ON r.rname = k.
 SELECT *, unnest(['few', 'many', 'count']) AS by FROM c""",
     "q37_binned_intervals": """WITH e AS (SELECT * FROM reads WHERE rname <> 'view'), k AS (SELECT rname, BX, max(pos) AS a, max(pos) + count(*) - 3 AS b FROM e GROUP BY ALL)
 SELECT event_id AS id, k.BX AS bx FROM e JOIN k ON e.rname = k.rname AND k.a <= k.b AND e.pos <= k.b AND e.pos + 5 >= k.a""",
+    "q38_base_counts": f"""WITH s AS ({SEQUENCED}),
+cells AS (
+  SELECT rname, pos + unnest(range(m)) AS pos, unnest(range(m)) AS i, seq, qual, m, op, k FROM s WHERE (flag & 4) = 0),
+every AS (
+  SELECT rname, pos, seq[i + 1:i + 1] AS base, ord(qual[i + 1:i + 1]) - 33 >= 20 AS good, false AS del, op = 'I' AND i = m - 1 AS ins FROM cells
+  UNION ALL SELECT rname, pos + m + unnest(range(k)), NULL, false, true, false FROM s WHERE (flag & 4) = 0 AND op = 'D')
+SELECT rname, pos, count(*) AS depth, {", ".join(f"count(*) FILTER (good AND base = '{b}') AS {b}" for b in "ACGTN")}, count(*) FILTER (del) AS deletions, count(*) FILTER (ins) AS insertions FROM every GROUP BY rname, pos""",
+    "q39_mate_overlap": f"""WITH s AS ({SEQUENCED}),
+r AS (SELECT event_id // 2 AS pair, event_id % 2 AS side, (event_id // 2) * 37 % 5000 + event_id % 2 * ((event_id // 2) % 70) AS pos, substr(repeat(seq, 3), 1, 40) AS seq, substr(repeat(qual, 3), 1, 40) AS qual FROM s),
+c AS (SELECT pair, side, pos + unnest(range(20)) AS pos, unnest(range(20)) AS i, seq, qual FROM r UNION ALL SELECT pair, side, pos + 22 + unnest(range(20)), 20 + unnest(range(20)), seq, qual FROM r),
+m AS (SELECT pair, side, pos, seq[i + 1:i + 1] AS base, ord(qual[i + 1:i + 1]) - 33 AS q FROM c),
+j AS (SELECT a.pair, a.side, a.pos, a.base = b.base AS same, a.q AS own, b.q AS other FROM m a LEFT JOIN m b ON a.pair = b.pair AND a.pos = b.pos AND a.side <> b.side),
+n AS (SELECT pair, pos, CASE WHEN other IS NULL THEN own WHEN same THEN CASE WHEN side = 0 THEN least(200, own + other) ELSE 0 END WHEN own > other OR own = other AND side = 0 THEN CAST(floor(own * 0.8::DOUBLE) AS INTEGER) ELSE 0 END AS q FROM j
+  UNION ALL SELECT pair, pos + 20 + unnest(range(2)), NULL FROM r)
+SELECT 'ref' || CAST(pair % 7 AS VARCHAR) AS rname, pos, count(*) AS n, CAST(sum(q) AS BIGINT) AS total, count(*) FILTER (q = 0) AS zeros FROM n GROUP BY ALL""",
+    "q40_sequence_ranges": """WITH w AS (SELECT user_id, string_agg(translate(md5(CAST(event_id AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGN'), '' ORDER BY event_id) AS whole FROM events GROUP BY user_id)
+SELECT event_id, 'u' || CAST(user_id AS VARCHAR) AS seqnames, event_id % 400 - 5 AS start, event_id % 400 + event_id % 150 AS "end",
+  substr(whole, CAST(greatest(event_id % 400 - 5, 1) AS BIGINT), CAST(greatest(event_id % 400 + event_id % 150 - greatest(event_id % 400 - 5, 1) + 1, 0) AS BIGINT)) AS seq FROM events JOIN w USING (user_id)""",
     "q30_tag_update": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'NM' ELSE 'BX,NM' END AS tags, event_id % 3 AS nm FROM reads",
 }
 SQL: dict[str, str] = {k: f"WITH reads AS ({READS})\n{v}" if not v.startswith("WITH ") else f"WITH reads AS ({READS}),\n{v[5:]}" for k, v in _SQL.items()}
