@@ -2,7 +2,8 @@
 
 1. Terms are counted in tasks and then by (lang, source, term), with the number of documents that hold each.
 2. A language keeps the terms of at least `least` of its documents. Kept terms are dealt into blocks by hash,
-   as many blocks as keep a block's tile, sources by terms, below `cells`.
+   as many blocks as keep a block's tile, sources by terms, at about `cells` cells, or at as many terms as
+   there are sources if that is more, so that pair sums are no more rows than cells.
 3. A block is a numpy int64 tile of scaled shares. All pairs of its sources are broadcast against each other,
    |p - q| is summed over the block's terms, and a top list of terms is made for each source. Where a language
    has many sources, a task takes `rows` of them against all.
@@ -31,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import dropped, raw, sliced, written
 
 LEAST, PRIOR, TOP = 30, 5, 50
-#: Different terms that a task counts before it passes them on; cells of a tile; sources that a task takes against all; pairs of a tile worked on at once.
-HELD, CELLS, ROWS, AT_ONCE = 200_000, 1 << 21, 256, 1 << 21
+#: Different terms that a task counts before it passes them on; cells of a tile, small enough for a language's terms to go to several tasks; sources that a task takes against all; pairs of a tile worked on at once.
+HELD, CELLS, ROWS, AT_ONCE = 200_000, 1 << 15, 256, 1 << 21
 #: What isn't part of a term becomes a space, and A-Z is lower-cased.
 FOLD = bytes(32 if b < 0x41 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if b <= 0x5A else b for b in range(256))
 
@@ -109,7 +110,7 @@ def audited(docs: DataFrame, text: str = "text", least: int = LEAST, prior: int
     groups = counts.select("lang", "source").distinct().join(used.groupBy("lang", "source").agg(F.sum("n").alias("n")), ["lang", "source"], "left").na.fill(0, ["n"])
     # Blocks and row tiles of each language: V terms, G sources.
     langs = groups.groupBy("lang").agg(F.count("*").alias("g")).join(used.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("v")), "lang", "left").na.fill(0, ["v"])
-    langs = written(langs.select("lang", "v", F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("g") / F.lit(cells))).cast("bigint").alias("blocks"), F.ceil(F.col("g") / F.lit(rows)).cast("bigint").alias("tiles")))
+    langs = written(langs.select("lang", "v", F.greatest(F.lit(1), F.ceil(F.col("v") * F.col("g") / F.greatest(F.lit(cells), F.col("g") * F.col("g")))).cast("bigint").alias("blocks"), F.ceil(F.col("g") / F.lit(rows)).cast("bigint").alias("tiles")))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     heads = groups.join(langs, "lang").withColumn("block", every("blocks")).withColumn("tile", every("tiles"))
     body = used.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("term"), "blocks")).withColumn("tile", every("tiles"))

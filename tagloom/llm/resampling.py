@@ -83,7 +83,7 @@ class Buckets:
             return np.fromiter(map(self.known.__getitem__, found), np.int32, len(found))
 
 
-def parts(docs: DataFrame, n: int, size: int) -> DataFrame:
+def parts(docs: DataFrame, n: int, size: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, row, own, text of docs (doc_id, text): whole short texts, where row and own are null, and the chunks of long ones, dealt out evenly."""
     length = F.coalesce(F.octet_length("text"), F.lit(0))
     short = docs.filter(length <= size).select("doc_id", F.lit(None).cast("bigint").alias("row"), F.lit(None).cast("bigint").alias("own"), F.col("text").cast("binary").alias("text"))
@@ -98,7 +98,7 @@ def parts(docs: DataFrame, n: int, size: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = long.mapInArrow(cut, f"doc_id {kind}, row bigint, nth bigint, own bigint, text binary").repartition("row", "nth")
-    return short.unionByName(dealt.drop("nth"))
+    return short, dealt.drop("nth")
 
 
 def counted(docs: DataFrame, n: int = N, buckets: int = BUCKETS, size: int = SIZE) -> np.ndarray:
@@ -117,7 +117,8 @@ def counted(docs: DataFrame, n: int = N, buckets: int = BUCKETS, size: int = SIZ
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used])], ["bucket", "n"])
 
     out = np.zeros(buckets, np.int64)
-    for r in parts(docs, n, size).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    short, long = parts(docs, n, size)
+    for r in short.union(long).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return out
 
@@ -148,11 +149,11 @@ def weighed(docs: DataFrame, gain: np.ndarray, n: int = N, size: int = SIZE) ->
                 numbers = [pa.array(c, pa.int64()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 3
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *numbers], ["doc_id", "row", "n_words", "n_features", "gain"])
 
-    each = parts(docs, n, size).mapInArrow(run, f"doc_id {kind}, row bigint, n_words bigint, n_features bigint, gain bigint")
+    short, long = (x.mapInArrow(run, f"doc_id {kind}, row bigint, n_words bigint, n_features bigint, gain bigint") for x in parts(docs, n, size))
     columns = ["doc_id", "n_words", "n_features", "gain"]
-    whole = each.filter("row is not null").groupBy("row", "doc_id").agg(*(F.sum(c).alias(c) for c in columns[1:])).select(*columns)
+    whole = long.groupBy("row", "doc_id").agg(*(F.sum(c).alias(c) for c in columns[1:])).select(*columns)
     weight = F.expr("if(n_features = 0, 0, (gain - pmod(gain, n_features)) div n_features)").cast("bigint")
-    return each.filter("row is null").select(*columns).unionByName(whole).select("doc_id", "n_words", "n_features", weight.alias("weight"))
+    return short.select(*columns).unionByName(whole).select("doc_id", "n_words", "n_features", weight.alias("weight"))
 
 
 def noise(doc_id, seed: int = SEED):
