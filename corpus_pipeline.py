@@ -1,17 +1,16 @@
 """A training-data pipeline over documents: each stage's rows are written as Parquet and are the next stage's documents.
 
 Every stage keeps the columns that it is given, whatever their names; the last returns tokens. A stage that
-drops documents judges all of them. The near-duplicate stage tells rows apart whatever their doc_ids; repeated
-doc_ids share one decision in the mixing stage, where null doc_ids are kept together as if they were one id.
+drops documents judges all of them. The near-duplicate and mixing stages tell rows apart whatever their doc_ids.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tagloom.llm import jaccard, mixing, pieces, quality, toxicity
-from tagloom.llm.common import table, written
+from tagloom.llm.common import n_words, table, written
 
 
 def _kept(docs: DataFrame, scored: DataFrame, keep) -> DataFrame:
@@ -56,10 +55,21 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    taken = mixing.mix(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    repeated = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return repeated.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Each document as often as the mix takes it: not at all, once or twice.
+
+    The mix tells rows of one doc_id, source and size apart by a number. Theirs are numbered in the order of
+    their content, so that null and repeated doc_ids are rows of their own and the result doesn't depend on how
+    rows are dealt out. Only keys and numbers are joined before the texts are.
+    """
+    keyed = written(n_words(_packed(docs).select("row", "text", F.monotonically_increasing_id().alias("key")), "text", "size", ["row", "text", "key"]))
+    own = [F.col("row").getField("doc_id").alias("doc_id"), F.col("row").getField("source").alias("source")]
+    same = Window.partitionBy("doc_id", "source", "size")
+    rows = keyed.select("key", *own, "size", F.xxhash64("text").alias("t"), F.xxhash64("row").alias("r")).withColumn("nth", F.row_number().over(same.orderBy("t", "r", "key")))
+    mixed = mixing.mix(docs).select("doc_id", "source", "size", "copies").withColumn("nth", F.row_number().over(same.orderBy("copies"))).filter("copies > 0")
+    mixed = mixed.select(*(F.col(c).alias(f"_{c}") for c in mixed.columns))
+    taken = rows.join(mixed, (F.col("nth") == F.col("_nth")) & (F.col("size") == F.col("_size")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")) & F.col("source").eqNullSafe(F.col("_source")))
+    repeated = keyed.join(taken.select("key", F.col("_copies").cast("int").alias("copies")), "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*(_column(c) for c in docs.columns))
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
