@@ -7,7 +7,7 @@ from test_text import components
 
 import __spark_entry__
 import corpus_pipeline
-from tagloom.llm import pieces, quality, toxicity
+from tagloom.llm import mixing, pieces, quality, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score string, row int"
 
@@ -83,6 +83,22 @@ def test_near_duplicates_go_by_rows(spark, made):
     assert Counter((r.doc_id, (r.text or "").removesuffix(" more")) for r in got) == Counter([(None, words(k)) for k in range(30)] + [(7, words(50)), (7, words(51)), (9, ""), (9, "")])
 
 
+def test_mixing_goes_by_rows(spark, made):
+    """A third of the ids is null, and some are repeated: each row counts for itself, and sources come near their targets."""
+    rng = np.random.default_rng(3)
+    rows = [(None if i % 3 == 0 else i // 2, " ".join(["w"] * int(rng.integers(1, 60))) + f" x{i}", f"s{i % 3 % 2}") for i in range(900)]
+    docs = spark.createDataFrame([(*r, "kept") for r in rows], "doc_id long, text string, source string, copies string").repartition(4)
+    got = dict(corpus_pipeline.STAGES)["mixing"](spark, docs, made)
+    assert got.columns == docs.columns
+    times = Counter((r.doc_id, r.text, r.source) for r in got.collect())
+    assert set(times) <= set(rows) and max(times.values()) <= 2
+    again = dict(corpus_pipeline.STAGES)["mixing"](spark, docs.repartition(7), made)
+    assert Counter((r.doc_id, r.text, r.source) for r in again.collect()) == times
+    targets = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    for source, target in targets.items():
+        assert abs(sum(len(t.split()) * n for (_, t, s), n in times.items() if s == source) - target) < 70
+
+
 def test_run_applies_the_stages(spark, made):
     docs = spark.read.parquet(f"{made}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
