@@ -26,8 +26,8 @@ def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edited crops of the pictures of every vector whose id is divisible by 20, searched among the pictures of all."""
     vectors = table(spark, sf_dir, "embeddings")
     found, members = media.copies(media.pictures(vectors.filter("vec_id % 20 = 0"), change=True), media.pictures(vectors))
-    sizes = members.groupBy("class_id").agg(F.count("*").alias("n_copies"))
-    return found.join(sizes, "class_id").select("query_id", "class_id", "inliers", "n_copies")
+    sizes = members.groupBy("class_no").agg(F.count("*").alias("n_copies"))
+    return found.join(sizes, "class_no").select("query_id", "class_id", "inliers", "n_copies")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

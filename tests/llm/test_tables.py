@@ -179,3 +179,17 @@ def test_image_formats():
     assert (media.decoded(b"P5 20 15 255\n" + gray.tobytes()) == gray).all()
     assert (media.decoded(b"P6\n2 1\n255\n" + bytes([0, 3, 6, 9, 9, 9])) == [[3, 9]]).all()
     assert all(media.decoded(x) is None for x in (None, b"", b"nothing", b"\x89PNG\r\n\x1a\n", b"P5 x", hashlib.sha256().digest()))
+
+
+def test_images_under_one_id_and_none(spark):
+    """Images are told apart by their bytes: shared and missing ids lose none."""
+    rng = np.random.default_rng(8)
+    pictures = [media.png(media.drawn(rng.normal(size=64).tolist())) for _ in range(4)]
+    rows = [(5, pictures[0]), (5, pictures[1]), (None, pictures[2]), (7, pictures[3]), (9, pictures[3]), (None, pictures[0]), (8, None), (None, b"no picture")]
+    images = spark.createDataFrame(rows, "id long, image binary")
+    queries = spark.createDataFrame([(k, p) for k, p in enumerate(pictures)] + [(None, pictures[1]), (40, pictures[2])], "id long, image binary")
+    found, members = media.copies(queries, images)
+    classes = {r.class_no: r.class_id for r in members.collect()}
+    assert sorted((r.query_id is None, r.query_id or 0, r.class_id is None, r.class_id or 0) for r in found.collect()) == [(False, 0, False, 5), (False, 1, False, 5), (False, 2, True, 0), (False, 3, False, 7), (False, 40, True, 0), (True, 0, False, 5)]
+    assert members.count() == 7 and len(classes) == 5 and len({r.class_no for r in found.collect()}) == 4
+    assert media.copies(queries.limit(0), images)[0].count() == 0 and media.copies(queries, images.limit(0))[0].count() == 0
