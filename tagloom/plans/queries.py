@@ -10,10 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import cigar, flags, ranges, regions, tags, variants
-from ..operators import index, overlap, pileup, summary
+from ..functions import alleles, cigar, flags, ranges, regions, tags, variants
+from ..operators import index, overlap, pileup, sites, summary
 from ..operators.lookup import Alignments, by_keys, region_keys
-from ..sources import bam, sequences
+from ..sources import bam, sequences, vcf
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -312,6 +312,60 @@ def q40_sequence_ranges(spark, sf_dir):
     return finished(sequences.fetched(spark.read.parquet(f"{top}/chunks"), wanted, 100), top)
 
 
+VCF_HEAD = """##fileformat=VCFv4.2
+##INFO=<ID=DP,Number=1,Type=Integer,Description="user">
+##INFO=<ID=AF,Number=A,Type=Float,Description="shares">
+##INFO=<ID=DB,Number=0,Type=Flag,Description="known">
+##FORMAT=<ID=GT,Number=1,Type=String,Description="genotype">
+##FORMAT=<ID=AD,Number=R,Type=Integer,Description="depths">
+#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ts1\ts2"""
+
+
+def variant_lines(spark, sf_dir):
+    """Variant records as text: one or two alternative alleles and two samples for each event."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.col("user_id").cast("string").alias("u"), "event_type")
+    i, two = F.col("event_id"), F.col("event_id") % 3 == 0
+    allele = lambda k: (F.floor(i / k) % F.when(two, 3).otherwise(2)).cast("string")
+    sample = lambda a, b: F.concat(a, F.when(i % 5 == 0, "|").otherwise("/"), b, F.lit(":"), F.when(i % 7 == 0, ".").otherwise(F.concat_ws(",", (i % 11).cast("string"), (i % 13).cast("string"), F.when(two, (i % 17).cast("string")))))
+    info = F.concat_ws(";", F.concat(F.lit("DP="), "u"), F.when(i % 2 == 0, F.when(two, "AF=0.25,.").otherwise("AF=0.5")), F.when(i % 4 == 0, "DB"))
+    return e.select(F.concat_ws("\t", "event_type", (i + 1).cast("string"), F.when(i % 6 == 0, ".").otherwise(F.concat(F.lit("rs"), i.cast("string"))), F.lit("A"), F.when(two, "C,G").otherwise("T"), F.when(i % 10 == 0, ".").otherwise(((i % 100) / 4).cast("string")), F.lit("PASS"), info, F.lit("GT:AD"), sample(allele(1), allele(2)), sample(F.when(i % 9 == 0, ".").otherwise(allele(4)), allele(8))).alias("value"))
+
+
+def q41_variant_text(spark, sf_dir):
+    """Variant records written as text, read by the header's types, and seen by field."""
+    path, head = f"{shared(spark)}/variants-{uuid.uuid4().hex}", vcf.parsed_header(VCF_HEAD)
+    vcf.write(vcf.parsed(variant_lines(spark, sf_dir), head), path, head)
+    rows = vcf.read(spark, path)
+    s = lambda k, f: F.get("samples", F.lit(k)).getField(f)
+    seen_ = rows.select("chrom", "pos", F.get("id", F.lit(0)).alias("id"), F.size("alt").alias("n_alt"), "qual", F.col("info.DP").alias("dp"), F.get("info.AF", F.lit(0)).alias("af"), F.size(F.coalesce("info.AF", F.array().cast("array<double>"))).alias("n_af"), F.col("info.DB").alias("db"), s(0, "GT").alias("gt"), F.get(s(1, "AD"), F.lit(1)).alias("ad"))
+    return finished(seen_, path)
+
+
+def q42_genotypes(spark, sf_dir):
+    """Allele counts and kinds of genotypes, and what is left of alleles that some sample has."""
+    head = vcf.parsed_header(VCF_HEAD)
+    rows = vcf.parsed(variant_lines(spark, sf_dir), head)
+    gts = F.transform("samples", lambda s: s.getField("GT"))
+    counted = rows.withColumns({"n": alleles.counts(gts, F.col("alt")), "kinds": F.array_join(F.transform(gts, alleles.kind), " ")})
+    left = alleles.trimmed(counted, head)
+    return left.select("pos", F.array_join(F.col("n").cast("array<string>"), ",").alias("n"), "kinds", F.array_join("alt", ",").alias("alt"), F.get(gts, F.lit(1)).alias("gt"), F.array_join(F.get("samples", F.lit(0)).getField("AD").cast("array<string>"), ",").alias("ad"))
+
+
+def q43_sites_side_by_side(spark, sf_dir):
+    """Variants of even and of odd events of the same positions, paired by equal alleles, by an allele in common, and by position alone."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("i"), "event_type")
+    alts = F.array(*(F.array(*map(F.lit, a)) for a in SIDE_ALTS))
+    # The even event of a pair tells the reference of both.
+    rows = e.select("i", F.expr("cast(i div 2 as int)").alias("pos"), F.lit("A").alias("ref"), F.get(alts, (F.expr("i * 7 + i div 2") % len(SIDE_ALTS)).cast("int")).alias("alt")).withColumn("chrom", F.lit("c"))
+    files = {n: rows.filter(F.col("i") % 2 == k).select("chrom", "pos", "ref", "alt") for k, n in enumerate(("even", "odd"))}
+    text = lambda n: F.array_join(n, ",").alias(n)
+    parts = [sites.side_by_side(files, m).select(F.lit(m).alias("mode"), "chrom", "pos", text("even"), text("odd")) for m in ("exact", "some", "any")]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+SIDE_ALTS = (("C",), ("G",), ("C", "G"), ("G", "C"), ("AT",), ("C", "AT"))
+
+
 def shared(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one where none is set, as in tests."""
     top = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
@@ -326,6 +380,9 @@ LENGTH_OF = lambda ops: f"CAST(coalesce(list_sum([CAST(x AS BIGINT) FOR x IN reg
 SEQUENCED = f"""SELECT *, CAST(regexp_extract(cigar, '^([0-9]+)M', 1) AS BIGINT) AS m, regexp_extract(cigar, '([DI])', 1) AS op, CAST(regexp_extract(cigar, 'M([0-9]+)', 1) AS BIGINT) AS k,
   substr(repeat(translate(md5(CAST(event_id AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGN'), 5), 1, {LENGTH_OF('MIS=X')}) AS seq,
   substr(repeat(translate(md5('q' || CAST(event_id AS VARCHAR)), '0123456789abcdef', '#+5?IIIIFFFF,,::'), 5), 1, {LENGTH_OF('MIS=X')}) AS qual FROM reads"""
+KIND = "CASE WHEN {p} = '.' OR {q} = '.' THEN 'unknown' WHEN {p} = '0' AND {q} = '0' THEN 'hom_ref' WHEN {p} = '0' OR {q} = '0' THEN 'het_ref_alt' WHEN {p} = {q} THEN 'hom_alt' ELSE 'het_alt' END"
+VARIANTS = """SELECT event_id, user_id, event_type, event_id % 3 = 0 AS two, CASE WHEN event_id % 5 = 0 THEN '|' ELSE '/' END AS sep, CASE WHEN event_id % 3 = 0 THEN 3 ELSE 2 END AS m,
+  CAST(event_id % m AS VARCHAR) AS a, CAST(event_id // 2 % m AS VARCHAR) AS b, CASE WHEN event_id % 9 = 0 THEN '.' ELSE CAST(event_id // 4 % m AS VARCHAR) END AS c, CAST(event_id // 8 % m AS VARCHAR) AS d FROM events"""
 ON_REF = f"greatest({LENGTH_OF('MDN=X')}, 1)"
 SEEN = "SELECT qname, flag, rname, CAST(pos AS INTEGER) AS pos, cigar, CASE WHEN event_id % 7 <> 0 THEN BX END AS bx, CAST(XK AS VARCHAR) AS xk FROM reads"
 REACHED = f"rname = 'click' AND pos <= 110 AND pos + {LENGTH} > 100"
@@ -367,7 +424,8 @@ x AS (SELECT *, list_min([i FOR i IN range(1, 2 + least(length(r), length(a))) I
 y AS (SELECT *, substr(r, f) AS r1, substr(a, f) AS a1 FROM x),
 z AS (SELECT *, coalesce(list_min([i FOR i IN range(1, 1 + least(length(r1), length(a1))) IF r1[-i:-i] <> a1[-i:-i] OR i = least(length(r1), length(a1))]), 1) - 1 AS s FROM y),
 t AS (SELECT *, length(r1) - s AS n, length(a1) - s AS m FROM z)
-SELECT event_id, CASE WHEN r = a OR alt IN ('<*>', '<X>', '<NON_REF>') OR length(r) = 1 AND alt IN ('.', '*', 'X') THEN 'REF' WHEN alt LIKE '<%' THEN 'OTHER' WHEN alt LIKE '%[%' OR alt LIKE '%]%' THEN 'BND'
+SELECT event_id, CASE WHEN length(r) = 1 AND length(alt) = 1 THEN CASE WHEN alt IN ('.', '*', 'X') OR r = alt THEN 'REF' ELSE 'SNP' END
+  WHEN alt LIKE '<*>%' OR alt LIKE '<X>%' THEN 'REF' WHEN alt LIKE '<%' THEN 'OTHER' WHEN r = a THEN 'REF' WHEN r1 = '' AND (a1 LIKE '[%' OR a1 LIKE ']%') THEN 'BND'
   WHEN r1 = '' OR a1 = '' THEN 'INDEL' WHEN n = 1 AND m = 1 THEN 'SNP' WHEN n = 1 OR m = 1 THEN CASE WHEN r1[n:n] = a1[m:m] THEN 'INDEL' ELSE 'OTHER' END WHEN n = m THEN 'MNP' ELSE 'OTHER' END AS kind FROM t""",
     "q29_binned_overlap": f"SELECT r.event_id, count(*) AS n_regions FROM reads r JOIN reads k ON r.rname = k.rname AND r.pos <= k.pos + 3 AND r.pos + {LENGTH} > k.pos GROUP BY r.event_id",
     "q31_binned_semi": f"SELECT event_id FROM reads r WHERE EXISTS (SELECT 1 FROM reads k WHERE r.rname = k.rname AND r.pos <= k.pos + 30 AND r.pos + {LENGTH} > k.pos + 29)",
@@ -399,6 +457,22 @@ SELECT 'ref' || CAST(pair % 7 AS VARCHAR) AS rname, pos, count(*) AS n, CAST(sum
     "q40_sequence_ranges": """WITH w AS (SELECT user_id, string_agg(translate(md5(CAST(event_id AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGN'), '' ORDER BY event_id) AS whole FROM events GROUP BY user_id)
 SELECT event_id, 'u' || CAST(user_id AS VARCHAR) AS seqnames, event_id % 400 - 5 AS start, event_id % 400 + event_id % 150 AS "end",
   substr(whole, CAST(greatest(event_id % 400 - 5, 1) AS BIGINT), CAST(greatest(event_id % 400 + event_id % 150 - greatest(event_id % 400 - 5, 1) + 1, 0) AS BIGINT)) AS seq FROM events JOIN w USING (user_id)""",
+    "q41_variant_text": f"""WITH v AS ({VARIANTS}) SELECT event_type AS chrom, CAST(event_id + 1 AS INTEGER) AS pos, CASE WHEN event_id % 6 <> 0 THEN 'rs' || event_id END AS id, CAST(CASE WHEN two THEN 2 ELSE 1 END AS INTEGER) AS n_alt,
+  CASE WHEN event_id % 10 <> 0 THEN (event_id % 100) / 4::DOUBLE END AS qual, CAST(user_id AS INTEGER) AS dp, CASE WHEN event_id % 2 = 0 THEN CASE WHEN two THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END END AS af,
+  CAST(CASE WHEN event_id % 2 = 1 THEN 0 WHEN two THEN 2 ELSE 1 END AS INTEGER) AS n_af, event_id % 4 = 0 AS db, a || sep || b AS gt, CASE WHEN event_id % 7 <> 0 THEN CAST(event_id % 13 AS INTEGER) END AS ad FROM v""",
+    "q42_genotypes": f"""WITH v AS ({VARIANTS}),
+k AS (SELECT *, [a, b, c, d] AS g, [x FOR x IN ['0', '1', '2'] IF x = '0' OR x IN (a, b, c, d)] AS kept, CASE WHEN two THEN ['C', 'G'] ELSE ['T'] END AS alts FROM v)
+SELECT CAST(event_id + 1 AS INTEGER) AS pos, array_to_string([len([y FOR y IN g IF y = x]) FOR x IN CASE WHEN two THEN ['0', '1', '2'] ELSE ['0', '1'] END], ',') AS n, {KIND.format(p='a', q='b')} || ' ' || {KIND.format(p='c', q='d')} AS kinds,
+  CASE WHEN len(kept) > 1 THEN array_to_string([alts[CAST(x AS BIGINT)] FOR x IN kept IF x <> '0'], ',') END AS alt,
+  CASE WHEN c = '.' THEN '.' ELSE CAST(list_position(kept, c) - 1 AS VARCHAR) END || sep || CAST(list_position(kept, d) - 1 AS VARCHAR) AS gt,
+  CASE WHEN event_id % 7 <> 0 THEN array_to_string([[event_id % 11, event_id % 13, event_id % 17][CAST(x AS BIGINT) + 1] FOR x IN kept], ',') END AS ad FROM k""",
+    "q43_sites_side_by_side": f"""WITH v AS (SELECT event_id AS i, event_id // 2 AS pos, [{", ".join("[" + ", ".join(f"'{x}'" for x in a) + "]" for a in SIDE_ALTS)}][1 + (event_id * 7 + event_id // 2) % {len(SIDE_ALTS)}] AS alt FROM events),
+p AS (SELECT coalesce(a.pos, b.pos) AS pos, 'A,' || array_to_string(a.alt, ',') AS x, 'A,' || array_to_string(b.alt, ',') AS y, list_sort(a.alt) = list_sort(b.alt) AS same, list_has_any(a.alt, b.alt) AS shared
+  FROM (SELECT * FROM v WHERE i % 2 = 0) a FULL JOIN (SELECT * FROM v WHERE i % 2 = 1) b ON a.pos = b.pos),
+m AS (SELECT *, unnest(['exact', 'some', 'any']) AS mode FROM p),
+f AS (SELECT *, coalesce(CASE mode WHEN 'exact' THEN same WHEN 'some' THEN shared ELSE true END, false) AS fits FROM m)
+SELECT mode, 'c' AS chrom, CAST(pos AS INTEGER) AS pos, x AS even, y AS odd FROM f WHERE fits OR x IS NULL OR y IS NULL
+UNION ALL SELECT mode, 'c', CAST(pos AS INTEGER), CASE side WHEN 0 THEN x END, CASE side WHEN 1 THEN y END FROM f, (VALUES (0), (1)) s(side) WHERE NOT fits AND x IS NOT NULL AND y IS NOT NULL""",
     "q30_tag_update": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'NM' ELSE 'BX,NM' END AS tags, event_id % 3 AS nm FROM reads",
 }
 SQL: dict[str, str] = {k: f"WITH reads AS ({READS})\n{v}" if not v.startswith("WITH ") else f"WITH reads AS ({READS}),\n{v[5:]}" for k, v in _SQL.items()}

@@ -76,6 +76,6 @@ def test_wide(spark):
     assert [tuple(r) for r in wide.orderBy("id").collect()] == [(0, 2**32 - 1, None, "s"), (1, None, 0.5, None)]
 
 
-@pytest.mark.parametrize("ref, alt, kind", [("A", "G", "SNP"), ("AC", "GT", "MNP"), ("A", "AT", "INDEL"), ("A", None, "REF"), ("A", "]c:1]A", "BND"), ("A", "<INV>", "OTHER"), ("AC", "AT", "SNP"), ("ACG", "ATG", "SNP"), ("AT", "GCC", "OTHER"), ("A", "X", "REF"), ("ACT", "GT", "OTHER"), ("AGT", "T", "INDEL"), ("acg", "AC", "INDEL")])
+@pytest.mark.parametrize("ref, alt, kind", [("A", "G", "SNP"), ("AC", "GT", "MNP"), ("A", "AT", "INDEL"), ("A", None, "REF"), ("A", "]c:1]A", "INDEL"), ("A", "A[chr2:5[", "BND"), ("A", "a", "SNP"), ("AC", "ac", "REF"), ("A", "<NON_REF>", "OTHER"), ("AC", "<*>", "REF"), ("AC", "*", "OTHER"), ("A", "<INV>", "OTHER"), ("AC", "AT", "SNP"), ("ACG", "ATG", "SNP"), ("AT", "GCC", "OTHER"), ("A", "X", "REF"), ("ACT", "GT", "OTHER"), ("AGT", "T", "INDEL"), ("acg", "AC", "INDEL")])
 def test_variants(spark, ref, alt, kind):
     assert one(spark, k=variants.kind(F.lit(ref), F.lit(alt).cast("string"))).k == kind
