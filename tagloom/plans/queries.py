@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import alleles, cigar, flags, ranges, regions, tags, variants
+from ..functions import alleles, cigar, exact, flags, ranges, regions, tags, variants
 from ..operators import index, overlap, pileup, sites, summary
 from ..operators.lookup import Alignments, by_keys, region_keys
 from ..sources import bam, sequences, vcf
@@ -363,6 +363,14 @@ def q43_sites_side_by_side(spark, sf_dir):
     return parts[0].union(parts[1]).union(parts[2])
 
 
+def q44_strand_bias(spark, sf_dir):
+    """Fisher's exact test of strand by a base's group for each tag value's reads."""
+    minus, high = F.col("flag").bitwiseAND(16) != 0, F.col("pos") >= 50
+    table = reads(spark, sf_dir).groupBy("BX").agg(*(F.count_if(s & p).alias(n) for n, s, p in (("a", ~minus, high), ("b", ~minus, ~high), ("c", minus, high), ("d", minus, ~high))))
+    test = table.withColumn("t", exact.fisher_of(*map(F.col, "abcd")))
+    return test.select("BX", *"abcd", *(F.round(F.col("t")[n], 6).alias(n) for n in ("left", "right", "two")))
+
+
 SIDE_ALTS = (("C",), ("G",), ("C", "G"), ("G", "C"), ("AT",), ("C", "AT"))
 
 
@@ -473,6 +481,11 @@ m AS (SELECT *, unnest(['exact', 'some', 'any']) AS mode FROM p),
 f AS (SELECT *, coalesce(CASE mode WHEN 'exact' THEN same WHEN 'some' THEN shared ELSE true END, false) AS fits FROM m)
 SELECT mode, 'c' AS chrom, CAST(pos AS INTEGER) AS pos, x AS even, y AS odd FROM f WHERE fits OR x IS NULL OR y IS NULL
 UNION ALL SELECT mode, 'c', CAST(pos AS INTEGER), CASE side WHEN 0 THEN x END, CASE side WHEN 1 THEN y END FROM f, (VALUES (0), (1)) s(side) WHERE NOT fits AND x IS NOT NULL AND y IS NOT NULL""",
+    "q44_strand_bias": """WITH t AS (SELECT BX, count(*) FILTER (flag & 16 = 0 AND pos >= 50) AS a, count(*) FILTER (flag & 16 = 0 AND pos < 50) AS b, count(*) FILTER (flag & 16 <> 0 AND pos >= 50) AS c, count(*) FILTER (flag & 16 <> 0 AND pos < 50) AS d FROM reads GROUP BY BX),
+k AS (SELECT *, unnest(range(0, least(r, col) + 1)) AS i FROM (SELECT *, a + b AS r, a + c AS col, a + b + c + d AS n FROM t)),
+k2 AS (SELECT *, exp(lgamma(r + 1) + lgamma(n - r + 1) + lgamma(col + 1) + lgamma(n - col + 1) - lgamma(n + 1) - lgamma(i + 1) - lgamma(r - i + 1) - lgamma(col - i + 1) - lgamma(n - r - col + i + 1)) AS p FROM k WHERE n - r - col + i >= 0),
+o AS (SELECT *, max(CASE WHEN i = a THEN p END) OVER (PARTITION BY BX) AS own FROM k2)
+SELECT BX, a, b, c, d, round(least(1, sum(p) FILTER (i <= a)), 6) AS left, round(least(1, sum(p) FILTER (i >= a)), 6) AS right, round(least(1, sum(p) FILTER (p <= own * (1 + 1e-7))), 6) AS two FROM o GROUP BY BX, a, b, c, d""",
     "q30_tag_update": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'NM' ELSE 'BX,NM' END AS tags, event_id % 3 AS nm FROM reads",
 }
 SQL: dict[str, str] = {k: f"WITH reads AS ({READS})\n{v}" if not v.startswith("WITH ") else f"WITH reads AS ({READS}),\n{v[5:]}" for k, v in _SQL.items()}
