@@ -30,10 +30,13 @@ def names(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sniff(spark: SparkSession, path: str) -> str:
-    """bam, cram, bcf, sam, vcf, fasta, gzip or text, by the first bytes of a file."""
+    """bam, cram, bcf, sam, vcf, fasta, gzip or text, by the first bytes of a file, or of the first one in a folder."""
     import zlib
 
-    data = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 65536).alias("head")).first()["head"])
+    from . import store
+
+    with store.opened(store.listed(path, "")[0], store.SEEK) as f:
+        data = f.read(1 << 16)
     packed = data[:2] == b"\x1f\x8b"
     if packed:
         data = zlib.decompressobj(31).decompress(data, 4096)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tagloom import cli
 from tagloom.operators import coordinates, index, overlap, summary
 from tagloom.operators.lookup import Alignments, is_empty
-from tagloom.sources import bam, bgzf, intervals, sam
+from tagloom.sources import bam, bgzf, formats, intervals, sam
 from tagloom.streaming import append
 
 HEADER = "@HD\tVN:1.6\n@SQ\tSN:chr19\tLN:100000\n@SQ\tSN:chr5\tLN:5000"
@@ -356,3 +356,22 @@ def test_several_files_under_one_index(spark, made, tmp_path):
     assert bam.read(spark, str(tmp_path / "sub")).count() == 2
     with pytest.raises(ValueError):
         both.write_subset(both.by_bx("AAA-1", output="table").select("voffset"), str(tmp_path / "sub2"))
+
+
+def test_files_are_read_by_what_they_hold(spark, made, tmp_path):
+    path, reads = made
+    sam.write(reads.records.coalesce(1), str(tmp_path / "text"), HEADER)
+    (tmp_path / "v.txt").write_text("##fileformat=VCFv4.2\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\nc\t5\t.\tA\tC\t.\t.\t.\n")
+    (tmp_path / "s.fa").write_text(">a\nACGT\n")
+    (tmp_path / "odd").write_text("nothing known")
+    os.rename(path, path + ".x")
+    try:
+        assert formats.kind(spark, path + ".x") == "bam" and formats.records(spark, path + ".x", "BX:Z").filter("BX = 'AAA-1'").count() == 2
+    finally:
+        os.rename(path + ".x", path)
+    assert formats.kind(spark, str(tmp_path / "text")) == "sam" and formats.records(spark, str(tmp_path / "text")).count() == len(LINES)
+    assert formats.records(spark, path).columns == formats.records(spark, str(tmp_path / "text")).columns
+    assert formats.read(spark, str(tmp_path / "v.txt")).first().pos == 5 and formats.read(spark, str(tmp_path / "s.fa")).first().seq == "ACGT"
+    for p in ("odd", "s.fa"):
+        with pytest.raises(ValueError, match="text|fasta"):
+            formats.records(spark, str(tmp_path / p))
