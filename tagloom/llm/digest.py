@@ -1,6 +1,6 @@
 """Document fingerprints: a canonical exact digest, built from Spark SQL functions only.
 
-The canonical text is the text under Unicode compatibility composition (NFKC), lower case and NFKC
+The canonical text is the text under Unicode compatibility composition (NFKC), full case folding and NFKC
 again, with every run of white space folded to one space and none at either end. Its digest is wide:
 two 64-bit xxhashes, of the text and of the text behind a mark, which give 32 hexadecimal digits. Rows
 of one digest form a bucket; in buckets of several rows the canonical texts are compared byte by byte,
@@ -32,10 +32,15 @@ def nfkc(text: Column) -> Column:
     return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
 
 
+def folded(text: Column) -> Column:
+    """Full Unicode case folding: sharp s becomes two, and a sigma at a word's end one like the others."""
+    return F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), text, F.lit(True))
+
+
 def canonical(text: Column) -> Column:
-    """Compatibility-composed, lower-cased and composed again, white space folded. Pure ASCII needs no composition."""
+    """Compatibility-composed, case-folded and composed again, white space folded. Pure ASCII needs no composition."""
     ascii_only = F.octet_length(text) == F.char_length(text)
-    lower = F.when(ascii_only, F.lower(text)).otherwise(nfkc(F.lower(nfkc(text))))
+    lower = F.when(ascii_only, F.lower(text)).otherwise(nfkc(folded(nfkc(text))))
     return F.trim(F.regexp_replace(lower, SPACES, " "))
 
 
@@ -139,6 +144,13 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
         return F.coalesce(same, F.lit(False)).cast("double")
 
     found = buckets(docs)
-    whole = F.sha2(canonical(F.col("text")), 256) if not found[1].isEmpty() else F.lit(None).cast("string")
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digest", whole.alias("whole"), "edited_digest", likeness("edited_digest", "edited").alias("near_edited"), likeness("next_digest", "next_text").alias("near_next"))
-    return settled(rows, *found).select("doc_id", "n_chars", "edited_sha256", "fingerprint", F.col("edited_digest").alias("edited_fingerprint"), "near_edited", "near_next", "class_id")
+    differ = not found[1].isEmpty()
+    whole, edited_whole = (F.sha2(canonical(F.col(c)), 256) if differ else F.lit(None).cast("string") for c in ("text", "edited"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digest", whole.alias("whole"), "edited_digest", edited_whole.alias("edited_whole"), likeness("edited_digest", "edited").alias("near_edited"), likeness("next_digest", "next_text").alias("near_next"))
+    rows = settled(rows, *found)
+    edited = F.col("edited_digest")
+    if differ:  # one form in both columns
+        apart = found[1].select(F.col("digest").alias("edited_digest"), F.lit(True).alias("edited_apart"))
+        rows = rows.join(apart, "edited_digest", "left")
+        edited = F.when(F.col("edited_apart"), F.concat_ws("-", "edited_digest", "edited_whole")).otherwise(edited)
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", edited.alias("edited_fingerprint"), "near_edited", "near_next", "class_id")

@@ -19,7 +19,7 @@ TEXT = "doc_id long, text string"
 
 def canonical(t):
     n = lambda x: unicodedata.normalize("NFKC", x)
-    return re.sub("[\x09-\x0d\x20\x85   ]+", " ", n(n(t or "").lower())).strip(" ")
+    return re.sub("[\x09-\x0d\x20\x85   ]+", " ", n(n(t or "").casefold())).strip(" ")
 
 
 def fingerprint(t):
@@ -41,6 +41,11 @@ def test_equal_digests_are_told_apart(spark, monkeypatch):
     got = {r.doc_id: r for r in digest.fingerprints(docs).collect()}
     assert got[1].fingerprint == got[3].fingerprint != got[2].fingerprint and got[4].fingerprint == "sameb"
     assert [got[i].class_id for i in (1, 2, 3, 4)] == [1, 2, 1, 4]
+    # "ab" and "ac" share a digest; an edited text that is one of them has its fingerprint.
+    pairs = spark.createDataFrame([(1, "ab"), (2, "bb"), (3, "ac"), (4, "a"), (5, "zz")], TEXT)
+    edited = {r.doc_id: r for r in digest.edited_fingerprints(pairs).collect()}
+    assert edited[1].edited_fingerprint == edited[1].fingerprint == "samea-" + hashlib.sha256(b"ab").hexdigest() != edited[3].fingerprint
+    assert edited[2].edited_fingerprint == "sameb" and edited[3].edited_fingerprint.startswith("samea-")
 
 
 @pytest.mark.parametrize("size", [50, 8 << 20])
