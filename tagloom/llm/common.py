@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -68,6 +69,16 @@ def raw(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(kind).to_pylist()]
 
 
+def segments(text: bytes, gap: re.Pattern[bytes], size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in pieces of about a size that end before a gap, so that a very long one is never held as words whole."""
+    at = 0
+    while at < len(text):
+        found = gap.search(text, at + size) if len(text) - at > size else None
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
 def words(text: bytes) -> list[bytes]:
     """`[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased: what bytes.split() and bytes.lower() do."""
     return text.lower().split()

@@ -20,6 +20,7 @@ item in UTF-8.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,13 +30,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, raw, sliced, written
+from .common import dropped, raw, segments, sliced, written
 
 LEAST, PRIOR, TOP = 30, 5, 50
 #: Different terms that a task counts before it passes them on; cells of a tile, small enough for a language's terms to go to several tasks; sources that a task takes against all; pairs of a tile worked on at once.
 HELD, CELLS, ROWS, AT_ONCE = 200_000, 1 << 15, 256, 1 << 21
 #: What isn't part of a term becomes a space, and A-Z is lower-cased.
 FOLD = bytes(32 if b < 0x41 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b + 32 if b <= 0x5A else b for b in range(256))
+GAP = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -48,6 +50,7 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
+        since = 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
             for (lang, source), (n, docs) in held.items():
@@ -63,11 +66,17 @@ def counted(docs: DataFrame, text: str = "text") -> DataFrame:
             for batch in sliced(whole):
                 for lang, source, t in zip(*(raw(batch.column(k)) for k in range(3)), strict=True):
                     n, docs = held.get((lang, source)) or held.setdefault((lang, source), (Counter(), Counter()))
-                    found = terms(t)
-                    n.update(found)
-                    docs.update({*found})
-                if sum(len(n) for n, _ in held.values()) > HELD:
-                    yield from flushed()
+                    own: set[bytes] = set()
+                    for part in segments(t, GAP):
+                        found = terms(part)
+                        n.update(found)
+                        own.update(found)
+                        since += len(found)
+                    docs.update(own)
+                    if since > HELD:
+                        since = 0
+                        if sum(len(n) for n, _ in held.values()) > HELD:
+                            yield from flushed()
         yield from flushed()
 
     return docs.select("lang", "source", text).mapInArrow(run, schema).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))

@@ -33,12 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, raw, sliced, written
+from .common import dropped, raw, segments, sliced, written
 
 MODEL = "/opt/tokenizers/word_bpe_49k.json"
 END = 1
 #: Words (and parts of words) that a task remembers, and the longest of them in bytes.
 REMEMBERED, LONGEST = 400_000, 64
+SPACE = re.compile(rb"[ \t-\r]")
 #: The model's pattern for words of these letters and signs, and the characters by which it spells bytes.
 LETTERS = "a-zß-öø-ıĳ-ňŊ-ſ"
 PLAIN, PARTS = re.compile(f"(?:[!-~À-ÖØ]|[{LETTERS}])*"), re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
@@ -159,6 +160,9 @@ class Words:
         return np.array(self.tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: bytes) -> bytes:
+        return b"".join(map(self.piece, segments(text, SPACE)))
+
+    def piece(self, text: bytes) -> bytes:
         # Special tokens are found before letters are lower-cased.
         words, known = (text if b"<|" in text else text.lower()).split(), self.known
         try:

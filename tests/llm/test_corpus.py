@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from tagloom.llm import divergence, packing, resampling
+from tagloom.llm import common, divergence, packing, resampling
 
 DOCS = "doc_id long, text string, lang string, source string, length string, number int"
 
@@ -167,3 +167,14 @@ def test_chunks_own_each_feature_once():
             for chunk, own in resampling.chunks(text, n, size):
                 found.update(resampling.features(resampling.words(chunk), own, n))
             assert found == Counter(resampling.features(whole, len(whole), n))
+
+
+def test_segments_cut_at_gaps(monkeypatch):
+    text = "Ab  cd,ef\tgh 12 ".encode() * 40 + b"x" * 50 + " é日本 y".encode()
+    for size in (1, 7, 64, 1000):
+        parts = list(common.segments(text, divergence.GAP, size))
+        assert b"".join(parts) == text and [w for p in parts for w in divergence.terms(p)] == divergence.terms(text)
+    words = packing.Words(open(packing.MODEL).read())
+    whole = words.piece(text)
+    monkeypatch.setattr(packing, "segments", lambda t, gap: common.segments(t, gap, 30))
+    assert words.ids(text) == whole and list(common.segments(b"", packing.SPACE)) == []
