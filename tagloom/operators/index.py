@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,10 +60,15 @@ def stored(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def build(records: DataFrame, index_path: str, names: list[str], any_type: bool = True) -> list[str]:
-    """Writes an index for each name, and always one for QNAME. Building again replaces an index."""
+    """Writes an index for each name, and always one for QNAME. Building again replaces an index. Records are read once, and their keys and places kept until all indexes are written."""
     built = [*dict.fromkeys([*map(checked, names), QNAME])]
-    for name in built:
-        stored(entries(records, name, any_type), f"{index_path}/{name}")
+    place = [c for c in ("file", "voffset") if c in records.columns]
+    keys = records.select(*place, *(key(n, any_type).alias(f"key_{k}") for k, n in enumerate(built))).persist(StorageLevel.DISK_ONLY)
+    try:
+        for k, name in enumerate(built):
+            stored(keys.select(F.col(f"key_{k}").alias("key"), *place).distinct(), f"{index_path}/{name}")
+    finally:
+        keys.unpersist()
     return built
 
 

@@ -58,8 +58,8 @@ def segments(cigar_column: Column, pos: Column) -> Column:
     return F.coalesce(F.aggregate(ops, start, step, lambda s: s["out"]), none)
 
 
-def entries(records_pos: Column, cigar_column: Column, seq: Column, qual: Column, skips: bool) -> Column:
-    """An array of structs of COLUMNS for a read: bases and qualities are null where it has none."""
+def entries(records_pos: Column, cigar_column: Column, seq: Column, qual: Column, skips: bool, only: tuple[str, ...] = COLUMNS) -> Column:
+    """An array of structs of some of COLUMNS for a read: bases and qualities are null where it has none."""
     last = cigar.reference_end(records_pos.cast("bigint"), cigar_column) - 1
     bases = F.when(seq.isNotNull() & (seq != "*"), F.split(seq, ""))
     quals = F.when(qual.isNotNull() & (qual != "*"), F.split(qual, ""))
@@ -70,7 +70,21 @@ def entries(records_pos: Column, cigar_column: Column, seq: Column, qual: Column
         matched = s["op"].isin("M", "=", "X")
         part = lambda x: F.when(matched & (F.size(x) >= s["y"] + s["n"]), F.slice(x, (s["y"] + 1).cast("int"), s["n"].cast("int")))
         both = F.arrays_zip(F.sequence(F.lit(0).cast("bigint"), s["n"] - 1).alias("i"), F.coalesce(part(bases), F.array().cast("array<string>")).alias("b"), F.coalesce(part(quals), F.array().cast("array<string>")).alias("q"))
-        return F.transform(both, lambda e: F.struct((s["x"] + e["i"]).alias("pos"), e["b"].alias("base"), (F.ascii(e["q"]) - 33).alias("qual"), F.when(matched, s["y"] + e["i"]).otherwise(s["y"]).alias("qpos"), F.when(e["i"] == s["n"] - 1, s["indel"]).otherwise(F.lit(0).cast("bigint")).alias("indel"), (~matched).alias("is_del"), (s["op"] == "N").alias("is_refskip"), (s["x"] + e["i"] == records_pos).alias("is_head"), (s["x"] + e["i"] == last).alias("is_tail")))
+        def cell(e):
+            made = {
+                "pos": lambda: s["x"] + e["i"],
+                "base": lambda: e["b"],
+                "qual": lambda: F.ascii(e["q"]) - 33,
+                "qpos": lambda: F.when(matched, s["y"] + e["i"]).otherwise(s["y"]),
+                "indel": lambda: F.when(e["i"] == s["n"] - 1, s["indel"]).otherwise(F.lit(0).cast("bigint")),
+                "is_del": lambda: ~matched,
+                "is_refskip": lambda: s["op"] == "N",
+                "is_head": lambda: s["x"] + e["i"] == records_pos,
+                "is_tail": lambda: s["x"] + e["i"] == last,
+            }
+            return F.struct(*(made[c]().alias(c) for c in only))
+
+        return F.transform(both, cell)
 
     return F.flatten(F.transform(found, cells))
 
@@ -156,8 +170,8 @@ def paired(records: DataFrame) -> DataFrame:
     return runs.withColumns({"pair": pair, "side": F.when(has, F.col("_k") % 2)}).drop("_may", "_end", "_linked", "_run", "_k", "_last")
 
 
-def stacked(records: DataFrame, keep: tuple[str, ...] = ("qname", "flag", "mapq"), most: int | None = None, overlaps: bool = False, skips: bool = True) -> DataFrame:
-    """rname, what is kept of a read, and COLUMNS: a row for each mapped read and position.
+def stacked(records: DataFrame, keep: tuple[str, ...] = ("qname", "flag", "mapq"), most: int | None = None, overlaps: bool = False, skips: bool = True, only: tuple[str, ...] = COLUMNS) -> DataFrame:
+    """rname, what is kept of a read, and COLUMNS, or some of them: a row for each mapped read and position.
 
     `most` limits the reads piled up at once, `skips` leaves out skipped reference positions if False. With
     `overlaps`, a base that both mates have counts in one of them: where they agree, the first gets the sum of
@@ -169,10 +183,11 @@ def stacked(records: DataFrame, keep: tuple[str, ...] = ("qname", "flag", "mapq"
     if overlaps:
         reads = paired(reads)
         more += ["pair", "side"] + ["qname"] * ("qname" not in more)
-    cells = reads.select("rname", *more, F.explode(entries(F.col("pos"), F.col("cigar"), F.col("seq"), F.col("qual"), skips)).alias("e")).select("rname", *more, *(F.col("e")[c].alias(c) for c in COLUMNS))
+    needed = tuple(c for c in COLUMNS if c in only or overlaps and c in ("pos", "base", "qual", "is_del"))
+    cells = reads.select("rname", *more, F.explode(entries(F.col("pos"), F.col("cigar"), F.col("seq"), F.col("qual"), skips, needed)).alias("e")).select("rname", *more, *(F.col("e")[c].alias(c) for c in needed))
     if overlaps:
         cells = adjusted(cells)
-    return cells.select("rname", *keep, *COLUMNS)
+    return cells.select("rname", *keep, *(c for c in COLUMNS if c in only))
 
 
 def adjusted(cells: DataFrame) -> DataFrame:
@@ -191,7 +206,7 @@ def adjusted(cells: DataFrame) -> DataFrame:
 
 def base_counts(records: DataFrame, least_quality: int = 0, most: int | None = None, overlaps: bool = False) -> DataFrame:
     """rname, pos, depth (reads, without skipped positions), A, C, G, T, N (other letters), deletions, insertions: bases of unknown quality count, those below `least_quality` don't."""
-    cells = stacked(records, keep=(), most=most, overlaps=overlaps, skips=False)
+    cells = stacked(records, keep=(), most=most, overlaps=overlaps, skips=False, only=("pos", "base", "qual", "indel", "is_del"))
     good = ~F.col("is_del") & (F.col("qual").isNull() | (F.col("qual") >= least_quality))
     letter = F.upper("base")
     counts = [F.count_if(good & (letter == b)).alias(b) for b in "ACGT"]

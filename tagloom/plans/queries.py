@@ -202,7 +202,7 @@ def q30_tag_update(spark, sf_dir):
     return tagged(spark, sf_dir).select("event_id", F.array_join(F.array_sort(F.map_keys(changed)), ",").alias("tags"), tags.get(changed, "NM", "i").alias("nm"))
 
 
-def as_bam(spark, sf_dir, parts: int = 3) -> str:
+def as_bam(spark, sf_dir, parts: int = 8) -> str:
     """The path of the reads written as BAM files in the shared folder."""
     path = f"{shared(spark)}/reads-{uuid.uuid4().hex}"
     rows = tagged(spark, sf_dir).select("qname", "flag", "rname", F.col("pos").cast("int").alias("pos"), F.lit(60).alias("mapq"), "cigar", F.lit("*").alias("rnext"), F.lit(0).alias("pnext"), F.lit(0).alias("tlen"), F.lit("*").alias("seq"), F.lit("*").alias("qual"), "aux")
@@ -295,7 +295,7 @@ def q39_mate_overlap(spark, sf_dir):
     rows = sequenced(spark, sf_dir)
     pair = F.expr("event_id div 2")
     mates = rows.withColumns({"rname": F.concat(F.lit("ref"), (pair % 7).cast("string")), "pos": (pair * 37 % 5000 + F.col("event_id") % 2 * (pair % 70)).cast("int"), "cigar": F.lit("20M2D20M"), "flag": F.when(F.col("event_id") % 2 == 0, 99).otherwise(147), "tlen": F.lit(60), "seq": F.substring(F.repeat("seq", 3), 1, 40), "qual": F.substring(F.repeat("qual", 3), 1, 40)})
-    cells = pileup.stacked(mates, keep=("qname", "flag"), overlaps=True)
+    cells = pileup.stacked(mates, keep=(), overlaps=True, only=("pos", "qual"))
     return cells.groupBy("rname", "pos").agg(F.count("*").alias("n"), F.sum("qual").alias("total"), F.count_if(F.col("qual") == 0).alias("zeros"))
 
 
