@@ -326,9 +326,10 @@ def near_components(docs: DataFrame, n: int = WORDS, percent: int = PERCENT) ->
     # What a class shares with all others together bounds what it shares with one, whose size is at least percent of its own.
     least = F.expr(f"(n * {percent} div 100) div {STRIDE} + 1")
     possible = (F.col("k") >= least) & (F.col("k") + F.col("n") - F.col("last") - 1 >= F.ceil(F.col("n") * percent / 100))
-    ids = written(whole.groupBy("id").agg(F.count("*").alias("k"), F.max("pos").alias("last"), F.first("n").alias("n")).filter(possible).select("id"))
     # A row a class: what is joined with components in each round.
-    packed_ = written(whole.join(ids, "id", "left_semi").groupBy("id").agg(F.first("n").alias("n"), F.collect_list(F.struct("pos", "h")).alias("items")))
+    each_class = whole.groupBy("id").agg(F.count("*").alias("k"), F.max("pos").alias("last"), F.first("n").alias("n"), F.collect_list(F.struct("pos", "h")).alias("items"))
+    packed_ = written(each_class.filter(possible).select("id", "n", "items"))
+    ids = packed_.select("id")
     dropped(whole)
     sets = written(sets_of(docs, ids, n))
     # Classes with few shingles of their own are nearest to what a group of copies was made from, so most of the group links with them.

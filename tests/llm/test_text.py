@@ -11,7 +11,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from tagloom.llm import contexts, digest, jaccard, pieces
+from tagloom.llm import contexts, digest, graph, jaccard, pieces
 
 ODD = [(1, "The same  text"), (2, "the SAME\ttext "), (3, None), (4, ""), (5, "ﬁne Straße Å Å"), (6, "fine strasse"), (7, "x" * 3000), (7, "x" * 3000), (9, "日本語 😀  tail"), (10, "last")]
 TEXT = "doc_id long, text string"
@@ -153,6 +153,32 @@ def test_components_equal_brute_force(spark, monkeypatch, sketch, pivots):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == components(rows)
 
 
+def test_components_take_few_jobs(spark):
+    """Any edges, in few jobs: the driver keeps memory for every plan and every shuffle."""
+    rng = np.random.default_rng(4)
+    path = [(k + 1, k) if k % 3 else (k, k + 1) for k in range(200, 260)]
+    star = [(500, k) for k in range(501, 600)] * 2
+    edges = [*path, *star, *((int(a), int(b)) for a, b in rng.integers(0, 150, (90, 2))), (7, 7), (900, 900)]
+    root = {k: k for e in edges for k in e}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    linked = {k for a, b in edges if a != b for k in (a, b)}
+    got = [tuple(r) for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()]
+    assert sorted(got) == sorted((k, top(k)) for k in linked)
+    spark.sparkContext.setJobGroup("stars", "")
+    got = graph.components(spark.createDataFrame(star, "u long, v long"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got.count() == 100 and len(spark.sparkContext.statusTracker().getJobIdsForGroup("stars")) <= 10
+    assert graph.components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
 def test_no_documents_have_no_components(spark):
     assert jaccard.near_components(spark.createDataFrame([], TEXT)).count() == 0
     assert [tuple(r) for r in jaccard.near_components(spark.createDataFrame([(3, None)], TEXT)).collect()] == [(3, 0, 3)]
