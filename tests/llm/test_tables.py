@@ -4,9 +4,11 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from tagloom.llm import media, mixing, urls, wrappers
 from tagloom.llm.queries import RULES
 
@@ -173,6 +175,33 @@ def test_images(spark):
     assert hits >= 0.9 * total and got[200] == {7}
 
 
+def test_image_pairs_equal_brute_force(spark):
+    """No image pair is lost because the Hamming tables miss some of its descriptor pairs."""
+    rng = np.random.default_rng(5)
+    vectors = [(i, rng.normal(size=64).tolist()) for i in range(80)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = {(r.query_id, r.class_id): r.inliers for r in media.copies(media.pictures(frame, change=True), media.pictures(frame))[0].collect()}
+    drawn = [media.drawn(r.embedding) for r in frame.orderBy("vec_id").collect()]
+    images, queries = [media.described(g.astype(np.float32)) for g in drawn], [media.described(media.edited(g, i).astype(np.float32)) for i, g in enumerate(drawn)]
+    want = {}
+    for q, (p, d) in enumerate(queries):
+        for i, (t, e) in enumerate(images):
+            a, b = np.nonzero(np.bitwise_count((d[:, None, :] ^ e[None, :, :]).view(np.uint64)).sum(2) <= media.FARTHEST)
+            rows = pd.DataFrame({f"{s}_{c}": x[k, j] for s, x, k in (("q", p, a), ("t", t, b)) for j, c in enumerate(("x", "y", "level", "turn"))})
+            if len(a) and (n := media.consensus(rows)[0]) >= media.FEWEST:
+                want[q, i] = n
+    assert got == want and len(want) > 70
+
+
+def test_image_query_gives_classes(spark):
+    """Matches and the class of every vector, joined by class_no."""
+    rows = __spark_entry__.queries()["op2_image_copies"](spark, "/root/testdata/sf0.001").collect()
+    members = {r.id: r for r in rows if r.part == "member"}
+    assert members.keys() == {r.vec_id for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").filter("size(embedding) > 0").collect()}
+    matches = [r for r in rows if r.part == "match"]
+    assert matches and all(r.id % 20 == 0 and r.inliers >= media.FEWEST and r.n_copies == sum(m.class_no == r.class_no for m in members.values()) for r in matches)
+
+
 def test_image_formats():
     gray = np.arange(300, dtype=np.uint8).reshape(15, 20)
     assert (media.decoded(media.png(gray)) == gray).all()
