@@ -25,7 +25,6 @@ Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, raw, sliced, words, written
+from .common import dropped, raw, trimming, words, written
 from .graph import components
 from .urls import filled, key_hash
 
@@ -137,7 +136,7 @@ def summarised(docs: DataFrame, n: int, bits: int, ranges: int) -> DataFrame:
         if lots:
             yield from counted()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, c1 long, c2 long, range long, slots binary")
+    return docs.select("doc_id", "text").mapInArrow(trimming(run), "doc_id long, n long, c1 long, c2 long, range long, slots binary")
 
 
 class Frequencies:
@@ -215,7 +214,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, frequencies: Frequencies) ->
                 each = lambda x: pa.array(np.repeat(np.array(x, np.int64), size))
                 yield from pa.Table.from_arrays([signed(np.concatenate([f for f, *_ in out])), each([c[0] for *_, c, _ in out]), each([c[1] for *_, c, _ in out]), each([m for *_, m in out]).cast(pa.int32()), pa.array(np.concatenate([p for _, p, *_ in out]).astype(np.int32))], names).to_batches(1 << 16)
 
-    return docs.select("text").mapInArrow(run, "h long, c1 long, c2 long, n int, pos int")
+    return docs.select("text").mapInArrow(trimming(run), "h long, c1 long, c2 long, n int, pos int")
 
 
 def prefix_share(n):
@@ -243,7 +242,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
             odd = np.concatenate([np.zeros(0, np.int64), *map(parities, found)]).reshape(-1, PARITIES)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array([f.tobytes() for f in found], pa.binary()), *(pa.array(odd[:, i]) for i in range(PARITIES))], names)
 
-    return docs.select("doc_id", "text", key_hash(F.col("doc_id")).alias("h")).mapInArrow(run, "doc_id long, grams binary, " + ", ".join(f"s{i} long" for i in range(PARITIES)))
+    return docs.select("doc_id", "text", key_hash(F.col("doc_id")).alias("h")).mapInArrow(trimming(run), "doc_id long, grams binary, " + ", ".join(f"s{i} long" for i in range(PARITIES)))
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -266,11 +265,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = one.join(sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")).hint("merge"), "a").select("a", "b", "x", "y")
 
     def run(batches):
-        for b in chain.from_iterable(map(sliced, batches)):
+        for b in batches:
             good = [similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in zip(b.column("x").to_pylist(), b.column("y").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(trimming(run), "u long, v long")
 
 
 def promising(index: DataFrame, percent: int) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import appended, raw
+from .common import appended, raw, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -283,6 +283,7 @@ def groups(texts: list[bytes]) -> Iterator[list[bytes]]:
 def encoded(docs: DataFrame, text: str = "text", keep: list[str] | None = None, model: str = MODEL, ids: bool = True) -> DataFrame:
     """keep, and for each text piece_ids (if ids), n_pieces, n_bytes (byte pieces), ids_crc (crc32 of the ids as little-endian int32) and round_trip: whether the ids decode to the text."""
     sent = docs.sparkSession.sparkContext.broadcast(load(model))
+    trimmed()
     at = docs.columns.index(text)
 
     def make():

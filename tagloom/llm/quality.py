@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import appended, raw, remainder
+from .common import appended, raw, remainder, trimmed
 from .learning import Buckets, Rows, gathered, labelled, sigmoid
 
 N_BUCKETS, BINS, RANK, SAMPLE, EPOCHS, BATCH, RATE, L2, THRESHOLD = 1 << 14, 12, 8, 8_000, 12, 256, 0.1, 1e-4, 0.3
@@ -126,6 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """keep, and score (0 to 1) and predicted (1 from THRESHOLD on) of each whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    trimmed()
     at = docs.columns.index("text")
 
     def make():

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import appended, raw, remainder, words
+from .common import appended, raw, remainder, trimmed, words
 from .learning import PUNCTUATION, REMEMBERED, Buckets, Rows, gathered, labelled, sigmoid
 
 #: Neutral identity terms by group.
@@ -146,6 +146,7 @@ def solve(x: Rows, y: np.ndarray, swapped: Rows, steady: float) -> Model:
 def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """keep, and score (0 to 1) and predicted of each whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    trimmed()
     at = docs.columns.index("text")
 
     def make():

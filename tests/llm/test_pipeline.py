@@ -2,12 +2,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 from test_text import components
 
 import __spark_entry__
 import corpus_pipeline
-from tagloom.llm import mixing, pieces, quality, toxicity
+from tagloom.llm import common, mixing, pieces, quality, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long, score string, row int"
 
@@ -117,3 +119,31 @@ def test_empty(spark, made):
 def test_registered():
     assert {"pipeline", *(f"op{k}" for k in range(1, 11))} <= {n.split("_")[0] for n in __spark_entry__.queries()}
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_tasks_give_memory_back(spark):
+    """What a task has freed is not held by its worker, which lives on, below something that stays."""
+
+    def make():
+        import os
+        import sys
+
+        held = [bytes(3000) for _ in range(60_000)]
+        sys.stays = bytes(3000)
+        return lambda batch: [pa.array([os.getpid() + 0 * len(held)] * batch.num_rows, pa.int64())]
+
+    def holds(batches):
+        import os
+        import re
+        import time
+        from pathlib import Path
+
+        time.sleep(0.5)  # so that all workers get some
+        for b in batches:
+            n = int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) // 1024
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()] * b.num_rows, "mb": [n] * b.num_rows})
+
+    rows = spark.range(0, 8, 1, 8)
+    made = {r.pid for r in common.appended(rows, make, [T.StructField("pid", T.LongType())]).collect()}
+    after = {r.pid: r.mb for r in rows.mapInArrow(holds, "pid long, mb long").collect()}
+    assert made & after.keys() and max(after[p] for p in made & after.keys()) < 170
