@@ -202,6 +202,18 @@ def test_image_query_gives_classes(spark):
     assert matches and all(r.id % 20 == 0 and r.inliers >= media.FEWEST and r.n_copies == sum(m.class_no == r.class_no for m in members.values()) for r in matches)
 
 
+def test_image_meetings_are_not_shuffled(spark, monkeypatch):
+    """Tiles and blocks give the same matches, and no plan has a join by descriptors' bits, whose rows grow with queries times images."""
+    rng = np.random.default_rng(4)
+    frame = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(60)], "vec_id long, embedding array<float>")
+    one = media.copies(media.pictures(frame, change=True), media.pictures(frame))[0]
+    want = sorted(map(tuple, one.drop("class_no").collect()))
+    monkeypatch.setattr(media, "TILE", 7)
+    assert sorted(map(tuple, media.copies(media.pictures(frame, change=True), media.pictures(frame))[0].drop("class_no").collect())) == want and len(want) > 50
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "d0" not in plan and "FlatMapCoGroupsInArrow" in plan and "Generate explode(array" not in plan
+
+
 def test_image_formats():
     gray = np.arange(300, dtype=np.uint8).reshape(15, 20)
     assert (media.decoded(media.png(gray)) == gray).all()
