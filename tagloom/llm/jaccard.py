@@ -41,6 +41,8 @@ WORDS, PERCENT = 5, 75
 MOST_FREQUENT, COUNTED = 1 << 19, 4
 #: Bits that tell which shingles several classes may share: 16 MB.
 BITMAP = 27
+#: Bytes of it in a value.
+PART = 1 << 20
 #: A task counts shingles in lots of so many, and a range of the hash space holds so many; words it remembers; the most that a filter of class ids is sized for.
 LOT, RANGE, REMEMBERED, MOST_FILTERED = 1 << 21, 1 << 21, 200_000, 1 << 25
 #: Longs of a set's parities.
@@ -139,6 +141,12 @@ def summarised(docs: DataFrame, n: int, bits: int, ranges: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(trimming(run), "doc_id long, n long, c1 long, c2 long, range long, slots binary")
 
 
+def marked(marks: np.ndarray) -> list[bytes]:
+    """Marks as bits, compressed in parts of PART bytes: on their way the driver's JVM holds several copies of a value."""
+    bits = np.packbits(marks)
+    return [zlib.compress(bits[i : i + PART].tobytes(), 1) for i in range(0, len(bits), PART)]
+
+
 class Frequencies:
     """What tasks need to know of document frequencies: which shingles several classes may share, and the counts of frequent ones."""
 
@@ -154,9 +162,11 @@ class Frequencies:
             marks[(some >> np.uint64(bits - BITMAP)).astype(np.int64) % segment] = 1
             often = times >= COUNTED
             k = int(often.sum())
-            return pa.table({"range": pa.array([group["range"][0].as_py()] * (1 + k), pa.int64()), "slot": pa.array([None, *slots[often].tolist()], pa.int64()), "n": pa.array([None, *times[often].tolist()], pa.int64()), "bits": pa.array([np.packbits(marks).tobytes()] + [None] * k, pa.binary())})
+            parts = marked(marks)
+            m, rest = len(parts), [None] * len(parts)
+            return pa.table({"range": pa.array([group["range"][0].as_py()] * (m + k), pa.int64()), "part": pa.array([*range(m), *[None] * k], pa.int64()), "slot": pa.array([*rest, *slots[often].tolist()], pa.int64()), "n": pa.array([*rest, *times[often].tolist()], pa.int64()), "bits": pa.array(parts + [None] * k, pa.binary())})
 
-        made = written(lots.groupBy("range").applyInArrow(count, "range long, slot long, n long, bits binary"))
+        made = written(lots.groupBy("range").applyInArrow(count, "range long, part long, slot long, n long, bits binary"))
         # The frequent ones are those above a count that at most MOST_FREQUENT shingles reach.
         known = made.filter("slot is not null").select("slot", "n", F.floor(F.log2("n") * 2).cast("int").alias("level"))
         total, least = 0, 99
@@ -167,8 +177,10 @@ class Frequencies:
         found = known.filter(F.col("level") >= least).select("slot", F.col("level").cast("byte").alias("level")).toArrow().sort_by("slot")
         self.bits, self.slots, self.levels = bits, found["slot"].to_numpy().astype(np.uint64), found["level"].to_numpy().astype(np.int8)
         self.marks = np.zeros(max(ranges * segment, 1 << BITMAP) // 8, np.uint8)
-        for row in made.filter("bits is not null").select("range", "bits").toLocalIterator():
-            self.marks[row["range"] * segment // 8 : (row["range"] + 1) * segment // 8] = np.frombuffer(row["bits"], np.uint8)
+        for row in made.filter("bits is not null").select("range", "part", "bits").toLocalIterator():
+            bits = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
+            at = row["range"] * segment // 8 + row["part"] * PART
+            self.marks[at : at + len(bits)] = bits
         dropped(made)
 
     def of(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -11,7 +11,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from tagloom.llm import contexts, digest, graph, jaccard, pieces
+from tagloom.llm import common, contexts, digest, graph, jaccard, pieces
 
 ODD = [(1, "The same  text"), (2, "the SAME\ttext "), (3, None), (4, ""), (5, "ﬁne Straße Å Å"), (6, "fine strasse"), (7, "x" * 3000), (7, "x" * 3000), (9, "日本語 😀  tail"), (10, "last")]
 TEXT = "doc_id long, text string"
@@ -184,6 +184,18 @@ def test_no_documents_have_no_components(spark):
     assert [tuple(r) for r in jaccard.near_components(spark.createDataFrame([(3, None)], TEXT)).collect()] == [(3, 0, 3)]
 
 
+def test_marks_travel_in_parts(spark, monkeypatch):
+    """What tells shared shingles is 16 MB, in one range for a small table; no single value is as large."""
+    made = []
+    monkeypatch.setattr(jaccard, "written", lambda df: made.append(common.written(df)) or made[-1])
+    monkeypatch.setattr(jaccard, "dropped", lambda df: None)
+    rows = [(i, " ".join(f"w{(i // 2 * 50 + j) * 7919}" for j in range(60))) for i in range(400)]
+    got = jaccard.near_components(spark.createDataFrame(rows, TEXT))
+    assert {r.doc_id: r.component_id for r in got.collect()} == {i: i // 2 * 2 for i, _ in rows}
+    sizes = [df.agg(F.max(F.octet_length("bits"))).first()[0] for df in made if "bits" in df.columns]
+    assert sizes and max(sizes) <= 1 << 20
+
+
 def test_context_trees(spark):
     rng = np.random.default_rng(5)
     rows = [(i, " ".join(rng.choice(["the", "river", "of", "stones", "Thé", "walks", "riverbank", "a"], rng.integers(0, 30)))) for i in range(120)] + [(500, None), (501, ""), (3, "again a repeated id"), (None, "no id")]
