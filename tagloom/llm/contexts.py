@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from collections.abc import Iterator
 from math import log, log10, pi
 
 import numpy as np
@@ -37,13 +38,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, remainder, words, written
+from .common import raw, remainder, trimmed, trimming, words, written
 
 DEPTH, REACH, BLOCK, END = 6, 3, 32 << 20, b"\n"
 #: Parts of a range, about, and the text bytes that bring a new one.
 RANGE, BYTES_A_PART = 500_000, 33
 #: Rows of the (context, byte) table that may be broadcast, at 12 bytes each.
 MOST_BROADCAST = 8_000_000
+#: Parts of a range that are spelled out at once.
+SPELLED = 1 << 16
 
 
 class Dictionary(dict):
@@ -54,6 +57,11 @@ class Dictionary(dict):
         return out
 
 
+def grown(n: np.ndarray, size: int) -> np.ndarray:
+    """n with room for so many numbers at least, zeros behind its own."""
+    return n if len(n) >= size else np.concatenate([n, np.zeros(max(size, 2 * len(n)) - len(n), n.dtype)])
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     """Integer arrays of one length, as compressed byte planes."""
     both = np.concatenate([np.asarray(a, "<i8") for a in arrays])
@@ -81,12 +89,10 @@ def blocks(docs: DataFrame, ranges: int) -> DataFrame:
 
     def run(batches):
         def fresh():
-            return uuid.uuid4().int >> 65, Dictionary(), [], 0
+            return uuid.uuid4().int >> 65, Dictionary(), np.zeros(0, np.int64), 0
 
         def closed():
-            n = np.zeros(len(found), np.int64)
-            for ids, times in trained:
-                n[ids] += times
+            n = grown(trained, len(found))
             parts: dict[int, list[bytes]] = {}
             for w in found:
                 parts.setdefault(zlib.crc32(w) % ranges, []).append(w)
@@ -105,7 +111,8 @@ def blocks(docs: DataFrame, ranges: int) -> DataFrame:
                 tokens += [END, *joints]
                 ids, times = np.unique(np.fromiter(map(found.__getitem__, tokens), np.int64, len(tokens)), return_counts=True)
                 if not held:
-                    trained.append((ids, times))
+                    trained = grown(trained, len(found))
+                    trained[ids] += times
                 bags.append(packed(np.diff(ids, prepend=0), times))
                 size += len(t)
                 if size > BLOCK or k == len(texts) - 1:
@@ -118,25 +125,27 @@ def blocks(docs: DataFrame, ranges: int) -> DataFrame:
         if found:
             yield from closed()
 
-    return rows.mapInArrow(run, "block long, doc_id long, held_out boolean, bag binary, range long, words binary, ids binary")
+    return rows.mapInArrow(trimming(run), "block long, doc_id long, held_out boolean, bag binary, range long, words binary, ids binary")
 
 
 def merged(made: DataFrame) -> DataFrame:
     """A row for each range: its words, their counts c, how many of them are training tokens (train, kinds), and for each block the words' places here and numbers there."""
 
     def meet(group: pa.Table) -> pa.Table:
-        found, places, c = Dictionary(), [], []
+        found, places, total = Dictionary(), [], np.zeros(0, np.int64)
         for blob, ids in zip(group["words"].to_pylist(), group["ids"].to_pylist(), strict=True):
             own = unlisted(blob)
             at = np.fromiter(map(found.__getitem__, own), np.int64, len(own))
             ids, n = unpacked(ids, 2)
             places.append(packed(at, ids))
-            c.append((at, n))
-        total = np.zeros(len(found), np.int64)
-        for at, n in c:
+            total = grown(total, len(found))
             total[at] += n
+        total = total[: len(found)]
         token = np.fromiter((w[:1] != b" " for w in found), bool, len(found))
-        return pa.table({"range": group["range"][:1], "words": pa.array([listed(list(found))], pa.binary()), "c": pa.array([packed(total)], pa.binary()), "train": pa.array([int(total[token].sum())]), "kinds": pa.array([int((total[token] > 0).sum())]), "blocks": pa.array([group["block"].to_pylist()], pa.list_(pa.int64())), "places": pa.array([places], pa.list_(pa.binary()))})
+        out = pa.table({"range": group["range"][:1], "words": pa.array([listed(list(found))], pa.binary()), "c": pa.array([packed(total)], pa.binary()), "train": pa.array([int(total[token].sum())]), "kinds": pa.array([int((total[token] > 0).sum())]), "blocks": pa.array([group["block"].to_pylist()], pa.list_(pa.int64())), "places": pa.array([places], pa.list_(pa.binary()))})
+        del found, places, own
+        trimmed()
+        return out
 
     dictionaries = made.filter("words is not null").select("block", "range", "words", "ids")
     return dictionaries.groupBy("range").applyInArrow(meet, "range long, words binary, c binary, train long, kinds long, blocks array<long>, places array<binary>")
@@ -164,6 +173,12 @@ def spelled(found: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
     return key << np.uint64(8) | flat[at], size
 
 
+def lots(found: list[bytes], depth: int):
+    """(a slice, what spelled() gives for its parts) after another: a text's byte takes 8 bytes several times over, so a range is never spelled whole."""
+    for i in range(0, len(found), SPELLED):
+        yield slice(i, i + SPELLED), *spelled(found[i : i + SPELLED], depth)
+
+
 def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, ascending, and the sum of n over each."""
     if not len(key):
@@ -228,16 +243,14 @@ def cut(key: np.ndarray, n: np.ndarray, depth: int, to: int) -> tuple[np.ndarray
     return summed(key >> np.uint64(8 * (depth - to + 1)) << np.uint64(8) | key & np.uint64(255), n)
 
 
-def forest(key: np.ndarray, n: np.ndarray, depth: int, top: int) -> list[list[Level]]:
-    """For each decision its levels from top to depth."""
+def forest(key: np.ndarray, n: np.ndarray, depth: int, top: int) -> Iterator[list[Level]]:
+    """For each decision, one after the other, its levels from top to depth."""
     counts = {d: cut(key, n, depth, d) for d in range(top, depth + 1)}
-    out = []
     for bit in range(8):
         levels = [Level(*counts[depth], bit)]
         for d in range(depth - 1, top - 1, -1):
             levels.append(Level(*counts[d], bit).over(levels[-1]))
-        out.append(levels[::-1])
-    return out
+        yield levels[::-1]
 
 
 def rows(batches) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +272,7 @@ def model(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
             at = levels[0]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at.key), bit)), pa.array(at.parents().astype(np.int64)), pa.array(at.zeros), pa.array(at.ones), pa.array(at.whole)], ["bit", "node", "zeros", "ones", "whole"])
 
-    top = dealt.mapInArrow(sums, "bit long, node long, zeros double, ones double, whole double").groupBy("bit", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "whole"))).toArrow().sort_by([("bit", "ascending"), ("node", "ascending")])
+    top = dealt.mapInArrow(trimming(sums), "bit long, node long, zeros double, ones double, whole double").groupBy("bit", "node").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "whole"))).toArrow().sort_by([("bit", "ascending"), ("node", "ascending")])
     bit, node, zeros, ones, whole = (top[c].to_numpy() for c in ("bit", "node", "zeros", "ones", "whole"))
     above: list[list[Level]] = []
     for b in range(8):
@@ -288,7 +301,14 @@ def model(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
         for i in range(0, len(key), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(key[i : i + (1 << 16)].view(np.int64)), pa.array(lp[i : i + (1 << 16)])], ["gram", "lp"])
 
-    return dealt.mapInArrow(probabilities, "gram long, lp double")
+    return dealt.mapInArrow(trimming(probabilities), "gram long, lp double")
+
+
+def gram_counts(found: list[bytes], c: np.ndarray, depth: int) -> list[pa.Array]:
+    """The distinct (context, byte) keys of parts that occur c times, and how often each occurs."""
+    each = [summed(key, np.repeat(c[at], size)) for at, key, size in lots(found, depth)]
+    key, n = summed(np.concatenate([k for k, _ in each]), np.concatenate([n for _, n in each]))
+    return [pa.array(key.view(np.int64)), pa.array(n)]
 
 
 def counted(vocabulary: DataFrame, depth: int) -> DataFrame:
@@ -296,12 +316,10 @@ def counted(vocabulary: DataFrame, depth: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for blob, c in zip(b.column("words").to_pylist(), b.column("c").to_pylist(), strict=True):
-                key, size = spelled(unlisted(blob), depth)
-                key, n = summed(key, np.repeat(unpacked(c, 1)[0], size))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["gram", "n"])
+            for blob, c in zip(b.column("words"), b.column("c"), strict=True):
+                yield from pa.Table.from_arrays(gram_counts(unlisted(blob.as_py()), unpacked(c.as_py(), 1)[0], depth), ["gram", "n"]).to_batches(1 << 16)
 
-    return vocabulary.select("words", "c").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return vocabulary.select("words", "c").mapInArrow(trimming(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def returned(row: dict, lp: np.ndarray, size: np.ndarray):
@@ -313,6 +331,20 @@ def returned(row: dict, lp: np.ndarray, size: np.ndarray):
         yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed(ids, c[at], size[at])], pa.binary()), pa.array([lp[at].astype("<f4").tobytes()], pa.binary())], ["of", "known", "lp"])
 
 
+def one_by_one(batch: pa.RecordBatch) -> Iterator[dict]:
+    for k in range(batch.num_rows):
+        yield batch.slice(k, 1).to_pylist()[0]
+
+
+def part_sums(found: list[bytes], keys: np.ndarray, values: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The log10 probability and the bytes of each part, by the table (keys, values)."""
+    lp, whole = np.zeros(len(found)), np.zeros(len(found), np.int64)
+    for at, key, size in lots(found, depth):
+        each = values[np.searchsorted(keys, key)].astype(float)
+        lp[at], whole[at] = np.bincount(np.repeat(np.arange(len(size)), size), each, len(size)), size
+    return lp, whole
+
+
 SCORES = "of long, known binary, lp binary"
 
 
@@ -328,28 +360,29 @@ def part_scores(vocabulary: DataFrame, probabilities: DataFrame, depth: int, mos
         def run(batches):
             keys, values = sent.value
             for b in batches:
-                for row in b.to_pylist():
-                    key, size = spelled(unlisted(row["words"]), depth)
-                    each = values[np.searchsorted(keys, key)].astype(float)
-                    yield from returned(row, np.bincount(np.repeat(np.arange(len(size)), size), each, len(size)), size)
+                for row in one_by_one(b):
+                    yield from returned(row, *part_sums(unlisted(row["words"]), keys, values, depth))
 
-        return vocabulary.mapInArrow(run, SCORES)
+        return vocabulary.mapInArrow(trimming(run), SCORES)
 
     def exploded(batches):
         for b in batches:
-            for row in b.select(["range", "words"]).to_pylist():
-                key, size = spelled(unlisted(row["words"]), depth)
-                at = np.repeat(np.arange(len(size)), size)
-                yield from pa.Table.from_arrays([pa.array(np.full(len(at), row["range"])), pa.array(at), pa.array(key.view(np.int64))], ["r", "at", "gram"]).to_batches(1 << 16)
+            for row in one_by_one(b.select(["range", "words"])):
+                for own, key, size in lots(unlisted(row["words"]), depth):
+                    at = np.repeat(np.arange(own.start, own.start + len(size)), size)
+                    yield from pa.Table.from_arrays([pa.array(np.full(len(at), row["range"])), pa.array(at), pa.array(key.view(np.int64))], ["r", "at", "gram"]).to_batches(1 << 16)
 
-    some = vocabulary.mapInArrow(exploded, "r long, at long, gram long").join(probabilities, "gram").groupBy("r", "at").agg(F.sum("lp").alias("lp"), F.count("*").alias("size"))
+    some = vocabulary.mapInArrow(trimming(exploded), "r long, at long, gram long").join(probabilities, "gram").groupBy("r", "at").agg(F.sum("lp").alias("lp"), F.count("*").alias("size"))
 
     def give(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
         n = len(unpacked(row["c"], 1)[0])
         lp, size = np.zeros(n), np.zeros(n, np.int64)
         lp[right["at"].to_numpy()], size[right["at"].to_numpy()] = right["lp"].to_numpy(), right["size"].to_numpy()
-        return pa.Table.from_batches(list(returned(row, lp, size)))
+        out = pa.Table.from_batches(list(returned(row, lp, size)))
+        del row, lp, size
+        trimmed()
+        return out
 
     return vocabulary.groupBy("range").cogroup(some.groupBy("r")).applyInArrow(give, SCORES)
 
@@ -378,7 +411,10 @@ def scored(docs: DataFrame, depth: int = DEPTH, most: int = MOST_BROADCAST) -> D
             ids = np.cumsum(ids)
             out.append((int(times[token[ids]].sum()), int(times[c[ids] > 0].sum()), float(times @ base[ids]), float(times @ lp[ids]), int(times @ size[ids])))
         n_tokens, n_known, base_score, total, n_bytes = zip(*out, strict=True)
-        return pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": base_score, "score": total, "n_bytes": pa.array(n_bytes, pa.int64())})
+        made = pa.table({"doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(n_tokens, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": base_score, "score": total, "n_bytes": pa.array(n_bytes, pa.int64())})
+        del known, order, c, size, lp, token, base, out, n_tokens, n_known, base_score, total, n_bytes
+        trimmed()
+        return made
 
     out = texts.groupBy("block").cogroup(scores.groupBy("of")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", (F.col("score") / -log10(2) / F.col("n_bytes")).alias("bits_per_byte"))

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -213,6 +214,41 @@ def test_context_trees(spark):
     assert contexts.scored(docs.limit(0)).count() == 0
 
 
+def peak(run):
+    """Most MB that Python and numpy held during a call, above those before."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_context_trees_are_held_one_decision_at_a_time():
+    rng = np.random.default_rng(2)
+    key = np.unique(rng.integers(0, 1 << 56, 100_000).astype(np.uint64))
+    n = np.ones(len(key), np.int64)
+    assert peak(lambda: [len(levels) for levels in contexts.forest(key, n, 6, 2)]) < 90
+
+
+def test_parts_are_spelled_a_slice_at_a_time(monkeypatch):
+    rng = np.random.default_rng(4)
+    found = [bytes(rng.choice(list(b"abcdefghij"), rng.integers(1, 12))) for _ in range(3000)] + [b" one tw", b" one \n", b"\n"]
+    c = rng.integers(0, 5, len(found))
+    key, size = contexts.spelled(found, 6)
+    keys, n = contexts.summed(key, np.repeat(c, size))
+    values = rng.random(len(keys)).astype(np.float32)
+    monkeypatch.setattr(contexts, "SPELLED", 7)
+    got = contexts.gram_counts(found, c, 6)
+    assert (got[0].to_numpy().view(np.uint64) == keys).all() and (got[1].to_numpy() == n).all()
+    lp, whole = contexts.part_sums(found, keys, values, 6)
+    each = values[np.searchsorted(keys, key)].astype(float)
+    assert (whole == size).all() and (lp == np.bincount(np.repeat(np.arange(len(size)), size), each, len(size))).all()
+    monkeypatch.undo()
+    many = found * 200
+    assert peak(lambda: contexts.part_sums(many, keys, values, 6)) < peak(lambda: contexts.spelled(many, 6)) / 2
+
+
 def symbols(text, depth=3, reach=3):
     """(context, byte) of a text, the nearest context byte first."""
     words, out = (text or "").encode().lower().split(), []
