@@ -178,6 +178,30 @@ def test_binned_join_is_the_plain_one(spark):
         assert plain.exceptAll(binned.select(*plain.columns)).isEmpty() and plain.count() == binned.count() > 0
 
 
+def test_semi_join_makes_no_pairs(spark):
+    """3,000 records and 1,500 regions around one place: no join gives more rows than there are records."""
+    rows = spark.range(3000).select("id", F.lit("c").alias("rname"), (F.col("id") % 40).cast("int").alias("pos"), F.lit("20M").alias("cigar"), F.lit(0).alias("flag"))
+    wanted = spark.range(1500).select(F.lit("c").alias("seqnames"), (30 + F.col("id") % 20).alias("start"), (31 + F.col("id") % 20).alias("end"))
+    found = overlap.joined(rows, wanted, "left_semi", few=0, width=16)
+    made = []
+
+    def walk(node):
+        metrics = node.metrics()
+        if "Join" in node.nodeName() and metrics.contains("numOutputRows"):
+            made.append(metrics.apply("numOutputRows").value())
+        for k in range(node.children().size()):
+            walk(node.children().apply(k))
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            walk(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            walk(node.plan())
+
+    assert len(found.collect()) == 3000 - 3000 // 40 * 10
+    walk(found._jdf.queryExecution().executedPlan())
+    assert made and max(made) <= 3000
+
+
 def test_repeated_and_null_offsets_lose_no_row(spark):
     rows = spark.range(40).select(F.lit("c").alias("rname"), F.lit(5).alias("pos"), F.lit("9M").alias("cigar"), F.lit(0).alias("flag"), F.when(F.col("id") < 20, F.col("id") % 3).alias("voffset"))
     wanted = spark.createDataFrame([("c", 1, 9), ("c", 3, 30)], "seqnames string, start long, end long")
