@@ -1,7 +1,7 @@
 """FASTA files as a table of bounded chunks (name, chunk, seq), and ranges of sequences put together from few of them.
 
-Files are read in ranges of bytes. A task gives pieces of its range's lines with their places behind the last
-header line, or behind the range's start; what stands before that is added from one row a range. However long
+Files are read in ranges of bytes, first for what each of them holds: one row a range tells what stands before the
+next. Then a range's lines are given in pieces with their places in their sequences. However long
 a line or a sequence is, no row holds more than a piece or a chunk of it.
 """
 
@@ -21,7 +21,7 @@ BLANK = bytes(range(33)) + b"\x7f"
 
 def lines(path: str, start: int, stop: int) -> Iterator[tuple[bool, bytes]]:
     """(whether it is a header line, piece) of a range of bytes. A header line belongs to the range that its ">" is in; other bytes to the range that they are in."""
-    with store.opened(path) as f:
+    with store.opened(path, max(store.SEEK, min(store.SCAN, HEADER + stop - start))) as f:
         back = max(0, start - HEADER)
         f.seek(back)
         before = f.read(start - back)
@@ -70,47 +70,72 @@ def pieces(path: str, start: int, stop: int) -> Iterator[tuple[str | None, int,
 
 
 def chunked(spark: SparkSession, path: str, chunk: int = CHUNK, split_bytes: int = SPLIT) -> DataFrame:
-    """name, chunk (from 0), seq of FASTA files. Of sequences of one name, the first in the first file counts; one without bases has no chunk."""
-    ranges = []
-    for p in [f for x in path.split(",") for f in (store.listed(x, ".fa") or store.listed(x, ".fasta"))]:
-        n = store.size(p)
-        ranges += [(p, a, min(a + split_bytes, n)) for a in range(0, n, split_bytes)]
-    if not ranges:
+    """name, chunk (from 0), seq of FASTA files. Of sequences of one name, the first in the first file counts; one without bases has no chunk.
+
+    A task reads several ranges where they are small, so that tasks grow with the files' bytes and not with the number of ranges.
+    """
+    files = [(p, store.size(p)) for x in path.split(",") for p in (store.listed(x, ".fa") or store.listed(x, ".fasta"))]
+    files = [(p, n) for p, n in files if n]
+    if not files:
         raise FileNotFoundError(f"no FASTA file: {path}")
-    schema = "file string, start bigint, name string, number bigint, at bigint, bases string"
-
-    def run(batches):
-        import pyarrow as pa
-
-        def batch(rows):
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "start", "name", "number", "at", "bases"])
-
-        for b in batches:
-            for file, start, stop in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                held, size = [], 0
-                for name, at, bases, number in pieces(file, start, stop):
-                    held.append((file, start, name, number, at, bases))
-                    size += len(bases)
-                    if size > 4 << 20 or len(held) > 20_000:
-                        yield batch(held)
-                        held, size = [], 0
+    tasks = min(sum(-(-n // split_bytes) for _, n in files), max(4 * spark.sparkContext.defaultParallelism, -(-sum(n for _, n in files) // SPLIT)))
+
+    def over(give, *kinds):
+        """A function over batches of ranges that puts the rows that give makes of each range into batches of bounded size."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            names = [n for n, _ in kinds]
+            types = [pa.string() if k == "string" else pa.int64() for _, k in kinds]
+            batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            held, size = [], 0
+            for b in batches:
+                for part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    for row in give(*part):
+                        held.append(row)
+                        size += sum(len(x) for x in row if isinstance(x, str))
+                        if size > 4 << 20 or len(held) > 20_000:
+                            yield batch(held)
+                            held, size = [], 0
+            if held:
                 yield batch(held)
 
-    found = spark.createDataFrame(ranges, "file string, start bigint, stop bigint").repartition(len(ranges)).mapInArrow(run, schema)
-    # One row a range: its last sequence, the bases behind that header, and those before the range's first one.
-    ends = found.groupBy("file", "start").agg(F.max_by("name", F.struct("number", "at")).alias("last"), F.max("number").alias("headers"), F.max(F.struct("number", (F.col("at") + F.length("bases")).alias("n")))["n"].alias("tail"))
+        return run, ", ".join(f"{n} {k}" for n, k in kinds)
+
+    def ended(file, start, stop):
+        last, tail, headers = None, 0, 0
+        for own, at, bases, number in pieces(file, start, stop):
+            last, tail, headers = own, at + len(bases), number
+        yield file, start, stop, last, headers, tail
+
+    def headed(file, start, stop, before_name, before, headers_before):
+        number = 0
+        for name, _, _, nth in pieces(file, start, stop):
+            if nth > number:
+                number = nth
+                yield file, headers_before + nth, name
+
+    def laid(file, start, stop, before_name, before, headers_before):
+        for own, at, bases, number in pieces(file, start, stop):
+            name = before_name if own is None else own
+            if bases and name is not None:
+                yield file, headers_before + number, name, at + (before if own is None else 0), bases
+
+    ranges = spark.createDataFrame(files, "file string, n bigint").select("file", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(split_bytes).cast("bigint"))).alias("start"), "n")
+    ranges = ranges.select("file", "start", F.least(F.col("start") + split_bytes, "n").alias("stop")).repartition(tasks)
+    # One row a range: its last sequence, its headers, and the bases behind the last one, or all.
+    ends = ranges.mapInArrow(*over(ended, ("file", "string"), ("start", "bigint"), ("stop", "bigint"), ("last", "string"), ("headers", "bigint"), ("tail", "bigint")))
     by = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    # Ranges are joined to the last header before them by the number of headers so far.
-    ends = ends.withColumn("so_far", F.coalesce(F.sum("headers").over(by), F.lit(0)))
-    group = Window.partitionBy("file", "level").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select("file", "start", F.col("so_far").alias("level"), F.lit(None).cast("string").alias("own"), F.when(F.col("headers") == 0, F.col("tail")).otherwise(0).alias("n"), F.lit(1).alias("kind"))
-    heads = ends.filter("headers > 0").select("file", "start", (F.col("so_far") + F.col("headers")).alias("level"), F.col("last").alias("own"), F.col("tail").alias("n"), F.lit(0).alias("kind"))
-    before = carried.unionByName(heads).withColumns({"before_name": F.first("own", ignorenulls=True).over(group), "before": F.coalesce(F.sum("n").over(group), F.lit(0))}).filter("kind = 1").select("file", "start", "before_name", "before", F.col("level").alias("headers_before"))
-    placed = found.join(before, ["file", "start"]).select("file", F.coalesce("name", "before_name").alias("name"), (F.col("headers_before") + F.col("number")).alias("nth"), (F.col("at") + F.when(F.col("name").isNull(), F.col("before")).otherwise(0)).alias("at"), "bases").filter("name is not null")
-    firsts = placed.groupBy("name").agg(F.min(F.struct("file", "nth")).alias("first")).select("first.*")
-    placed = placed.join(firsts, ["file", "nth"], "left_semi").filter("bases <> ''")
+    zero = F.lit(0).cast("bigint")
+    ends = ends.withColumns({"run": F.coalesce(F.sum("tail").over(by), zero), "headers_before": F.coalesce(F.sum("headers").over(by), zero)})
+    # What stands before a range is what the ranges since the last header add up to.
+    since = F.last(F.when(F.col("headers") > 0, F.col("run")), ignorenulls=True).over(by)
+    known = ends.select("file", "start", "stop", F.last("last", ignorenulls=True).over(by).alias("before_name"), (F.col("run") - F.coalesce(since, zero)).alias("before"), "headers_before").repartition(tasks)
+    firsts = known.mapInArrow(*over(headed, ("file", "string"), ("nth", "bigint"), ("name", "string")))
+    placed = known.mapInArrow(*over(laid, ("file", "string"), ("nth", "bigint"), ("name", "string"), ("at", "bigint"), ("bases", "string")))
+    firsts = firsts.groupBy("name").agg(F.min(F.struct("file", "nth")).alias("first")).select("first.*")
+    placed = placed.join(firsts, ["file", "nth"], "left_semi")
     first, last = F.floor(F.col("at") / chunk), F.floor((F.col("at") + F.length("bases") - 1) / chunk)
     cut = placed.withColumn("chunk", F.explode(F.sequence(first, last)))
     low = F.greatest(F.col("chunk") * chunk, F.col("at"))

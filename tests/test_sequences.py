@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tagloom.sources import sequences
 
@@ -56,3 +57,17 @@ def test_chunks_and_ranges(spark, tmp_path, monkeypatch):
     assert touched.count() == 1
     with pytest.raises(FileNotFoundError):
         sequences.chunked(spark, str(tmp_path / "no.fa"))
+
+
+def test_many_small_ranges_are_few_tasks(spark, tmp_path):
+    """A range of bytes each was a task, read six times: tens of thousands of tasks are more than a driver's memory holds."""
+    lines = [f">s{k}\n" + "ACGTTGCAAC\n" * (k % 40) for k in range(300)]
+    (tmp_path / "a.fa").write_text("".join(lines))
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("small-ranges", "")
+    got = sequences.chunked(spark, str(tmp_path / "a.fa"), chunk=64, split_bytes=40).groupBy("name").agg(F.sum(F.length("seq")).alias("n")).collect()
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.name: r.n for r in got} == {f"s{k}": k % 40 * 10 for k in range(300) if k % 40}
+    stages = {s for job in tracker.getJobIdsForGroup("small-ranges") for s in tracker.getJobInfo(job).stageIds}
+    counts = [info.numTasks for s in stages if (info := tracker.getStageInfo(s))]
+    assert counts and max(counts) <= 4 * context.defaultParallelism
