@@ -224,6 +224,20 @@ def test_binned_intervals(spark):
     assert binned.count() == plain.count() > 50 and plain.exceptAll(binned.select(*plain.columns)).isEmpty()
 
 
+def test_short_intervals_are_not_repeated_by_bins(spark):
+    """Where most intervals of the left side reach into a second bin, each of them is shuffled once."""
+    rng = __import__("random").Random(5)
+    made = lambda n, most: [("cd"[rng.randrange(2)], a := rng.randrange(-40, 300), a + rng.randrange(-3, most), k) for k in range(n)]
+    schema = "seqnames string, start long, end long, id long"
+    right = spark.createDataFrame(made(60, 40), schema)
+    for most, generated in ((8, 1), (30, 2), (1, 2)):
+        left = spark.createDataFrame([(c, a, a + 5 if most == 8 else b, k) for c, a, b, k in made(300, most)], schema)
+        plain, binned = overlap.intervals(left, right), overlap.intervals(left, right, few=0, width=8)
+        assert plain.exceptAll(binned.select(*plain.columns)).isEmpty() and plain.count() == binned.count() > 100
+        assert binned._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == generated
+    assert overlap.intervals(left.limit(0), right, few=0, width=8).isEmpty() and overlap.intervals(left, right.limit(0), few=0, width=8).isEmpty()
+
+
 def test_numbers_and_missing_tags_are_found(spark, made, tmp_path):
     path, _ = made
     reads = Alignments(spark, path, str(tmp_path / "index"))
