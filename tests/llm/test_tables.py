@@ -214,6 +214,29 @@ def test_image_meetings_are_not_shuffled(spark, monkeypatch):
     assert "d0" not in plan and "FlatMapCoGroupsInArrow" in plan and "Generate explode(array" not in plan
 
 
+def test_image_groups_grow_with_keypoints_only(spark, monkeypatch):
+    """However few pictures a tile holds, all queries are one block while their keypoints are few: each image is shuffled once. Small blocks give the same matches."""
+    rng = np.random.default_rng(4)
+    frame = spark.createDataFrame([(i, rng.normal(size=64).tolist()) for i in range(60)], "vec_id long, embedding array<float>")
+    found = lambda: media.copies(media.pictures(frame, change=True), media.pictures(frame))[0]
+    want = sorted(map(tuple, found().drop("class_no").collect()))
+    dealt, parts = [], media.parts
+    monkeypatch.setattr(media, "parts", lambda *how: dealt.append(parts(*how)) or dealt[-1])
+    monkeypatch.setattr(media, "TILE", 7)
+    assert sorted(map(tuple, found().drop("class_no").collect())) == want and dealt == [9, 1]
+    monkeypatch.setattr(media, "GROUP", 20_000)
+    assert sorted(map(tuple, found().drop("class_no").collect())) == want and min(dealt[2:]) > 3
+
+
+def test_pictures_of_one_size_are_described_together():
+    rng = np.random.default_rng(8)
+    for shape in ((96, 96), (40, 130), (25, 24), (12, 12)):
+        grays = rng.integers(0, 255, (5, *shape)).astype(np.float32)
+        for gray, (points, found) in zip(grays, media.described_all(grays), strict=True):
+            one = media.described(gray)
+            assert (one[0] == points).all() and (one[1] == found).all() and (len(found) > 0 or min(shape) < 40)
+
+
 def test_image_formats():
     gray = np.arange(300, dtype=np.uint8).reshape(15, 20)
     assert (media.decoded(media.png(gray)) == gray).all()
